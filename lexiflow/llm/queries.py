@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiflow.llm.exact_dedup import exact_dedup
+from lexiflow.llm.line_dedup import line_dedup
+from lexiflow.llm.secret_scan import secret_digest
 from lexiflow.llm.url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +70,31 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(_read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_line_dedup",
+    """
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS ls FROM documents),
+    pages AS (SELECT host, count(*) AS total FROM d GROUP BY host HAVING count(*) >= 20),
+    one AS (SELECT host, unnest(list_distinct(ls)) AS line FROM d WHERE text IS NOT NULL),
+    bad AS (
+      SELECT host, line FROM (SELECT host, line, count(*) AS n FROM one WHERE trim(line) <> '' GROUP BY host, line) JOIN pages USING (host) WHERE n / total > 0.05
+    ),
+    per AS (SELECT host, list(line) AS bad FROM bad GROUP BY host),
+    k AS (
+      SELECT doc_id, text, coalesce(len(ls), 0) AS n_lines,
+        CASE WHEN bad IS NULL OR text IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(bad, x)) END AS kept
+      FROM d LEFT JOIN per USING (host)
+    )
+    SELECT doc_id, n_lines, n_lines - coalesce(len(kept), 0) AS n_removed, sha256(array_to_string(kept, chr(10))) AS text_sha256 FROM k
+    """,
+)
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))

@@ -39,7 +39,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files that a materialized frame reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
