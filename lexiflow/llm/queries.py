@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm.exact_dedup import exact_dedup
 from lexiflow.llm.line_dedup import line_dedup
+from lexiflow.llm.pieces import encode_documents
 from lexiflow.llm.secret_scan import secret_digest
 from lexiflow.llm.url_filter import url_filter
 
@@ -98,3 +99,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_read(spark, sf_dir, "documents"), piece_model_path(), ids=False, text=False)
