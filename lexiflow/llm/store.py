@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,7 +49,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
         if not batch.num_rows:
             continue
         array = batch.column(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(array), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > most:
