@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiflow.llm.avi import media_digest
 from lexiflow.llm.exact_dedup import exact_dedup
 from lexiflow.llm.line_dedup import line_dedup
 from lexiflow.llm.pieces import encode_documents
@@ -110,3 +111,8 @@ def piece_model_path() -> str:
 @query("op4_sentencepiece")
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), piece_model_path(), ids=False, text=False)
+
+
+@query("op7_media")
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digest(_read(spark, sf_dir, "documents"))
