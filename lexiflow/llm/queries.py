@@ -11,6 +11,7 @@ from lexiflow.llm.avi import media_digest
 from lexiflow.llm.exact_dedup import exact_dedup
 from lexiflow.llm.line_dedup import line_dedup
 from lexiflow.llm.pieces import encode_documents
+from lexiflow.llm.quality import quality_scores, train_quality
 from lexiflow.llm.secret_scan import secret_digest
 from lexiflow.llm.url_filter import url_filter
 
@@ -116,3 +117,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_media")
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(_read(spark, sf_dir, "documents"))
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_scores(docs, train_quality(docs, _read(spark, sf_dir, "labels")))
