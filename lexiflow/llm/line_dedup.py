@@ -39,7 +39,8 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     pages = docs.groupBy(host).agg(F.count("*").alias("total")).filter(F.col("total") >= min_pages)
     one = docs.filter(text.isNotNull()).select(host, F.explode(F.array_distinct(lines(text))).alias("line"))
     keyed = one.filter(~is_blank(F.col("line"))).select("host", F.unhex(F.sha2("line", 256)).alias("key"))
-    counts = keyed.groupBy("host", "key").agg(F.count("*").alias("n_pages"))
+    # A share above the ratio takes more pages than this in any host that counts, so rare lines need no total.
+    counts = keyed.groupBy("host", "key").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") > ratio * min_pages)
     share = F.col("n_pages") / F.col("total")
     return counts.join(pages, "host").filter(share > ratio).select("host", "key", "n_pages", share.alias("share"))
 
