@@ -21,7 +21,7 @@ _CLASSES = {
     "symbol": b"!#$%&*+/<=>@[\\]^_`{|}~",
     "high": bytes(range(128, 256)),
 }
-SURFACE = (*_CLASSES, "log_bytes", "word_length", "long_word", "one_byte_word", "symbol_end", "symbol_word", "repeat_1", "repeat_2", "stop_end", "capital", "words_a_line")
+SURFACE = (*_CLASSES, "log_bytes", "word_length", "long_word", "one_byte_word", "symbol_end", "symbol_word", "repeat_1", "repeat_2", "stop_end", "capital", "words_a_line", "much_repeat", "distinct", "symbols_root")
 PAIR_BINS = 256
 DENSE = len(SURFACE) + PAIR_BINS
 _CLASS_OF = np.full(256, len(_CLASSES), np.uint8)
@@ -85,6 +85,12 @@ def dense(texts: Sequence[bytes]) -> np.ndarray:
     for j, c in enumerate(columns):
         out[:, k + 1 + j] = c
     out[:, k + 1 + len(columns)] = np.log1p(words / (counts[:, 4] + 1))
+    out[:, k + 2 + len(columns)] = out[:, k + 6] + out[:, k + 7] > 0.3
+    met = np.unique((flat.doc.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+    distinct = np.bincount((met >> np.uint64(40)).astype(np.int64), minlength=flat.n) / words
+    # Against the share that a text of this length has on average: longer texts say old words more often.
+    out[:, k + 3 + len(columns)] = distinct * np.log1p(words) / 4
+    out[:, k + 4 + len(columns)] = np.sqrt(out[:, 6])
     pair = ((flat.data[:-1].astype(np.uint32) * 0x9E37 + flat.data[1:].astype(np.uint32) * 0x85EB) >> 6) & (PAIR_BINS - 1)
     table = np.bincount(owner[:-1] * PAIR_BINS + pair, minlength=flat.n * PAIR_BINS).reshape(flat.n, PAIR_BINS)
     out[:, len(SURFACE) :] = table / size[:, None]

@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.features import DENSE, dense
+from lexiflow.llm.features import DENSE, SURFACE, dense
 from lexiflow.llm.store import slices
 
 #: At most so many positives, and so many unlabelled documents, are fitted on: those with the smallest hash of their id.
 SAMPLE = 8000
 THRESHOLD = 0.3
+PAIR_WEIGHT = 0.2
 FOLDS = 5
 
 
@@ -35,14 +36,21 @@ class LinearModel:
     prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
+        z = standard(x, self.mean, self.scale) @ self.weights + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Deviations from the mean, cut off at 8; those of byte pairs, which are many and noisy, at 2 and weighed less."""
+    z = np.clip((x - mean) / scale, -8, 8)
+    z[:, len(SURFACE) :] = np.clip(z[:, len(SURFACE) :], -2, 2) * PAIR_WEIGHT
+    return z
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> LinearModel:
     """Minimise the non-negative unbiased risk with logistic loss, by full-batch Adam from zero weights."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
-    p, u = (np.clip((x - mean) / scale, -8, 8).astype(np.float32) for x in (positive, unlabelled))
+    p, u = (standard(x, mean, scale).astype(np.float32) for x in (positive, unlabelled))
     w, b = np.zeros(p.shape[1]), 0.0
     m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
     for t in range(1, steps + 1):
