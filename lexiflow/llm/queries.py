@@ -13,6 +13,7 @@ from lexiflow.llm.line_dedup import line_dedup
 from lexiflow.llm.pieces import encode_documents
 from lexiflow.llm.quality import quality_scores, train_quality
 from lexiflow.llm.secret_scan import secret_digest
+from lexiflow.llm.substring_dedup import substring_dedup
 from lexiflow.llm.url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +124,8 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality_scores(docs, train_quality(docs, _read(spark, sf_dir, "labels")))
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_read(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
