@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm.avi import media_digest
 from lexiflow.llm.exact_dedup import exact_dedup
 from lexiflow.llm.line_dedup import line_dedup
+from lexiflow.llm.near_dedup import near_dedup
 from lexiflow.llm.pieces import encode_documents
 from lexiflow.llm.quality import quality_scores, train_quality
 from lexiflow.llm.secret_scan import secret_digest
@@ -129,3 +130,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op3_near_dedup")
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_read(spark, sf_dir, "documents")).drop("rid")
