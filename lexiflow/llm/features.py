@@ -23,6 +23,8 @@ _CLASSES = {
 }
 SURFACE = (*_CLASSES, "log_bytes", "word_length", "long_word", "one_byte_word", "symbol_end", "symbol_word", "repeat_1", "repeat_2", "stop_end", "capital", "words_a_line", "much_repeat", "distinct", "symbols_root")
 PAIR_BINS = 256
+#: Bytes of a word's beginning that count as a word of its own.
+WORD_BEGIN = 5
 DENSE = len(SURFACE) + PAIR_BINS
 _CLASS_OF = np.full(256, len(_CLASSES), np.uint8)
 for _k, _members in enumerate(_CLASSES.values()):
@@ -45,8 +47,8 @@ class Flat:
         self.doc = np.searchsorted(self.begin, self.start, "right") - 1
         self.n_words = np.bincount(self.doc, minlength=self.n)
 
-    def word_hashes(self, fold: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; with ``fold``, of its letters, A-Z in lower case, and other high bytes alone."""
+    def word_hashes(self, fold: bool = False, most: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first ``most`` bytes; with ``fold``, of its letters, A-Z in lower case, digits and high bytes alone."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         sizes = self.end - self.start
@@ -56,6 +58,8 @@ class Flat:
         if fold:
             kind = self.kind[np.repeat(self.start, sizes) + place]
             byte = np.where(kind == 1, byte + np.uint64(32), byte) * ((kind < 3) | (kind == 7))
+        if most:
+            byte = byte * (place < most)
         mixed = byte * _POWERS[place & 4095]
         total = np.add.reduceat(mixed, np.cumsum(sizes) - sizes)
         total ^= total >> np.uint64(29)
@@ -99,10 +103,10 @@ def dense(texts: Sequence[bytes]) -> np.ndarray:
 
 
 def hashed_words(texts: Sequence[bytes], bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct folded words of each text as bins: row of each entry, its bin, its weight (unit length per row)."""
+    """Distinct folded words, and beginnings of words, of each text as bins: row of each entry, its bin, its weight (unit length per row)."""
     flat = Flat(texts)
-    code = (flat.word_hashes(fold=True) >> np.uint64(20)).astype(np.int64) % bins
-    key = np.unique(flat.doc * bins + code)
+    codes = [(flat.word_hashes(fold=True, most=n) * np.uint64(2 * n + 1) >> np.uint64(20)).astype(np.int64) % bins for n in (0, WORD_BEGIN)]
+    key = np.unique(np.concatenate([flat.doc * bins + c for c in codes]))
     row, column = key // bins, key % bins
     per = np.bincount(row, minlength=len(texts))
     return row, column, (1.0 / np.sqrt(np.maximum(per, 1)))[row]

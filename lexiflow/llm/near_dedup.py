@@ -288,3 +288,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classed = materialize(flat.join(labels, "node", "left").select("id", "rid", "row", F.coalesce("label", "node").alias("label")), "classes")
     top = classed.groupBy("label").agg(F.min(F.struct("id", "row")).alias("top"), F.count("*").alias("class_size"))
     return classed.join(top, "label").select(F.col("id").alias(id_col), "rid", F.col("top.id").alias("class_id"), "class_size", (F.col("row") == F.col("top.row")).alias("kept"))
+
+
+def near_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of which :func:`near_dedup` keeps one for each class."""
+    kept = near_dedup(docs, id_col, text_col, **settings).filter("kept").select(F.col(id_col).alias("__id"), F.col("rid").alias("__kept_rid")).distinct()
+    key = F.col(id_col).cast("long")
+    marked = docs.withColumn("__rid", F.xxhash64(key, F.col(text_col).cast("string")))
+    return marked.join(kept, key.eqNullSafe(F.col("__id")) & (F.col("__rid") == F.col("__kept_rid")), "left_semi").dropDuplicates([id_col, "__rid"]).drop("__rid")

@@ -301,7 +301,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     decoded = decoded[1:]
                 row = [sum([e[1] for e in entries])]
                 if ids:
-                    row.append(np.array(joined.split(","), np.int32) if joined else np.empty(0, np.int32))
+                    row.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
                 if text:
                     row.append(decoded)
                 rows.append((*row, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))

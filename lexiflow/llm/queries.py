@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm.avi import media_digest
 from lexiflow.llm.exact_dedup import exact_dedup
 from lexiflow.llm.line_dedup import line_dedup
+from lexiflow.llm.mixing import mix
 from lexiflow.llm.near_dedup import near_dedup
 from lexiflow.llm.pieces import encode_documents
 from lexiflow.llm.quality import quality_scores, train_quality
@@ -135,3 +136,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_near_dedup")
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_read(spark, sf_dir, "documents")).drop("rid")
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("rid")
