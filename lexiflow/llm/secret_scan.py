@@ -31,7 +31,10 @@ ALLOW = r"(?i)example|sample|placeholder|dummy|changeme|redacted|xxxx|0123456789
 ALLOW_UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 _SPANS = "array<struct<start:int,end:int,text:string,value:string>>"
-_NONE = F.expr(f"cast(array() as {_SPANS})")
+
+
+def _none() -> Column:
+    return F.expr(f"cast(array() as {_SPANS})")
 
 
 def _spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -40,7 +43,7 @@ def _spans(text: Column, pattern: str, group: int = 0) -> Column:
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
     rows = F.arrays_zip(found.alias("m"), value.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), _NONE.alias("out"))
+    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
 
     def step(acc: Column, row: Column) -> Column:
         begin = acc["at"] + F.length(row["g"])
@@ -92,10 +95,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equals = text.contains(":") | text.contains("=")
     raw = source.select(
         "id",
-        F.when(equals & text.rlike(ASSIGN_HINT), _spans(text, ASSIGN, 1)).otherwise(_NONE).alias("a"),
-        F.when(text.contains("AKIA"), _spans(text, ACCESS)).otherwise(_NONE).alias("k"),
-        F.when(text.rlike(HEX), _spans(text, HEX)).otherwise(_NONE).alias("h"),
-        F.when(text.rlike(r"[0-9]") & text.rlike(CANDIDATE), _spans(text, CANDIDATE)).otherwise(_NONE).alias("c"),
+        F.when(equals & text.rlike(ASSIGN_HINT), _spans(text, ASSIGN, 1)).otherwise(_none()).alias("a"),
+        F.when(text.contains("AKIA"), _spans(text, ACCESS)).otherwise(_none()).alias("k"),
+        F.when(text.rlike(HEX), _spans(text, HEX)).otherwise(_none()).alias("h"),
+        F.when(text.rlike(r"[0-9]") & text.rlike(CANDIDATE), _spans(text, CANDIDATE)).otherwise(_none()).alias("c"),
     )
 
     def kind(spans: Column, rank: int) -> Column:
