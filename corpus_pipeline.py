@@ -12,9 +12,11 @@ from lexiflow.llm.pieces import encode_documents
 from lexiflow.llm.quality import quality_scores, train_quality
 from lexiflow.llm.queries import piece_model_path
 from lexiflow.llm.store import materialize
+from lexiflow.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

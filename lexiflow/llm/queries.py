@@ -17,12 +17,14 @@ from lexiflow.llm.quality import quality_scores, train_quality
 from lexiflow.llm.secret_scan import secret_digest
 from lexiflow.llm.substring_dedup import substring_dedup
 from lexiflow.llm.url_filter import url_filter
+from lexiflow.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
