@@ -43,7 +43,7 @@ def compared(ratio: Column, overlap: Column, higher_is_better: bool) -> Column:
 
 def span_hours(first: Column, last: Column) -> Column:
     """Hours from one timestamp to another; it must not be the earlier one."""
-    micros = F.unix_micros(last) - F.unix_micros(first)
+    micros = F.unix_micros(last.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
     return F.when(micros < 0, F.raise_error(F.lit("a span ends before it begins")).cast("double")).otherwise(micros / F.lit(3.6e9))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda, an expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(c: Column) -> Column:
     """Apostrophes and quotes made plain, runs of white space made one blank, none at the ends."""
     return F.btrim(F.regexp_replace(F.translate(c, "’‘ʼ«»“”", "'''\"\"\"\""), WS + "+", " "))
@@ -95,7 +102,8 @@ def long_words(c: Column, least: int = 4) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of ``n`` tokens in order."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    none = F.array().cast("array<array<string>>")
+    return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n))).otherwise(none))
 
 
 def length_ratio(hyp: Column, ref: Column) -> Column:
@@ -105,9 +113,10 @@ def length_ratio(hyp: Column, ref: Column) -> Column:
 
 
 def repetition_rate(hyp: Column, n: int = 3) -> Column:
-    """Share of word n-grams that repeat an earlier one."""
-    g = ngrams(words(hyp), n)
-    return F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.nullif(F.size(g), F.lit(0))).otherwise(0.0)
+    """Share of word n-grams that repeat an earlier one. N-grams are joined to strings, which Spark can hash; arrays it compares one by one."""
+    none = F.array().cast("array<string>")
+    joined = let(words(hyp), lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(none))
+    return let(joined, lambda g: F.when(F.size(g) > 0, (F.size(g) - F.size(F.array_distinct(g))) / F.nullif(F.size(g), F.lit(0))).otherwise(0.0))
 
 
 def is_truncated(hyp: Column, ref: Column) -> Column:
@@ -122,8 +131,8 @@ def proper_nouns(source: Column) -> Column:
 
 def proper_noun_copy_accuracy(source: Column, hyp: Column) -> Column:
     """Share of proper nouns that stand in the hypothesis, in either case; null without any."""
-    nouns = proper_nouns(source)
-    return F.size(F.filter(nouns, lambda n: F.contains(F.lower(hyp), F.lower(n)))) / F.nullif(F.size(nouns), F.lit(0))
+    both = F.struct(proper_nouns(source).alias("nouns"), F.lower(hyp).alias("text"))
+    return let(both, lambda b: F.size(F.filter(b["nouns"], lambda n: F.contains(b["text"], F.lower(n)))) / F.nullif(F.size(b["nouns"]), F.lit(0)))
 
 
 def punct_density(c: Column) -> Column:
@@ -155,8 +164,8 @@ def ratio_of_words(src: Column, ref: Column) -> Column:
 def word_copies(hyp: Column, source: Column, ref: Column, least: int = 4) -> Column:
     """Words of the hypothesis, repeats included, that the source has and the reference lacks."""
     low = lambda c: F.transform(words(c), F.lower)
-    src, gold = low(source), low(ref)
-    return F.filter(words(hyp), lambda w: (F.length(w) >= least) & F.array_contains(src, F.lower(w)) & ~F.array_contains(gold, F.lower(w)))
+    both = F.struct(low(source).alias("src"), low(ref).alias("ref"), words(hyp).alias("hyp"))
+    return let(both, lambda b: F.filter(b["hyp"], lambda w: (F.length(w) >= least) & F.array_contains(b["src"], F.lower(w)) & ~F.array_contains(b["ref"], F.lower(w))))
 
 
 def split_sentences(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiflow.plans import flagship, text_queries  # noqa: F401
+from lexiflow.plans import corpus_queries, flagship, text_queries  # noqa: F401
 from lexiflow.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
