@@ -8,8 +8,8 @@ with a chance of their weighted Jaccard similarity. Only the few darts below a h
 total weight sets are looked at, so a signature costs little more than reading the text.
 
 Texts with one set of elements are one node. Nodes that share a band of the signature meet in a
-bucket. No bucket is turned into all its pairs: its least node is compared with the others, which
-are then one class or not; only where nodes of different classes are left do those meet again.
+bucket. No bucket is turned into all its pairs: its hub is compared with the others, which are then
+one class or not; only where nodes of different classes are left do those meet again.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 24 bands of 5: a pair at 0.8 is missed once in ten thousand.
 BANDS, ROWS = 24, 5
-#: A bucket with more nodes than this is not searched within one task.
-LOCAL = 256
+#: So many nodes of a bucket at most meet so many others within one task.
+BLOCK = 1000
 #: Nodes whose contents are looked up by a broadcast of their keys (16 bytes each); a join beyond.
 BROADCAST_NODES = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -186,20 +186,45 @@ def _compare(threshold: float):
     return run
 
 
-def _local(threshold: float):
-    """Links that join all classes of a bucket that can be joined: pairs of one class are not compared."""
+def _meet(threshold: float):
+    """Links between the active nodes of a block and the nodes of another block of their bucket, where their classes differ.
+
+    The sizes of all intersections with one node come from an inverted index: one count over the
+    nodes that hold its elements.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
-        content = [_content(a, b) for a, b in zip(table.column("once").to_pylist(), table.column("more").to_pylist(), strict=True)]
-        names = {x: i for i, x in enumerate(dict.fromkeys(label))}
-        of = np.array([names[x] for x in label])
+        node, label, active = (table.column(c).to_pylist() for c in ("node", "label", "active"))
+        once, more = ([np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()] for c in ("once", "more"))
+        others = [k for k, a in enumerate(active) if not a]
+        names = {x: k for k, x in enumerate(dict.fromkeys(label))}
+        of = np.array([names[label[k]] for k in others], np.int64)
+
+        def index(parts: list[np.ndarray]):
+            sizes = np.array([len(parts[k]) for k in others], np.int64)
+            flat = np.concatenate([parts[k] for k in others]) if others else np.zeros(0, np.uint32)
+            order = np.argsort(flat, kind="stable")
+            return flat[order], np.repeat(np.arange(len(others)), sizes)[order], sizes
+
+        def shared(found, mine: np.ndarray) -> np.ndarray:
+            values, owner, _ = found
+            a, b = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+            n = b - a
+            at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            return np.bincount(owner[at], minlength=len(others))
+
+        first, second = index(once), index(more)
         links = []
-        for i in range(len(node)):
-            for j in range(i + 1, len(node)):
-                if of[i] != of[j] and similarity(content[i], content[j]) >= threshold:
-                    links.append((node[i], node[j]))
-                    of[of == of[j]] = of[i]
+        for k, a in enumerate(active):
+            if not a or not others:
+                continue
+            both = shared(first, once[k])
+            alike = both / np.maximum(1, first[2] + len(once[k]) - both)
+            extra = both + (shared(second, more[k]) if len(more[k]) else 0)
+            alike = np.maximum(alike, extra / np.maximum(1, first[2] + second[2] + len(once[k]) + len(more[k]) - extra))
+            # One link to each class is enough.
+            hit = np.flatnonzero((alike >= threshold) & (of != names[label[k]]))
+            links += [(node[k], node[others[h]]) for h in hit[np.unique(of[hit], return_index=True)[1]]]
         return pa.table({"hub": pa.array([x for x, _ in links], pa.binary()), "node": pa.array([y for _, y in links], pa.binary())})
 
     return run
@@ -225,50 +250,54 @@ def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
             return labels
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, local: int = LOCAL) -> DataFrame:
+def near_links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Verified links that join every two nodes that share a bucket and are alike into one component: hub, node.
 
-    ``docs`` has column text; ``nodes`` has node and bands, a row per node.
+    ``docs`` has column text; ``nodes`` has node and bands, a row per node. First the hub of every
+    bucket, its node with the most company in all its buckets, is compared with the others. What is
+    then not of the hub's class is active, and meets the bucket's nodes of other classes, in blocks
+    of at most ``block`` against ``block`` nodes, so no task gets more. Near-copies of one text are
+    one class after the first step; the second costs the active nodes times the bucket.
     """
     spark = docs.sparkSession
     pairs = nodes.select(F.explode("bands").alias("bucket"), "node")
-    sizes = pairs.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
-    buckets = materialize(pairs.join(sizes, "bucket"), "buckets")
-    wanted = buckets.select("node").distinct()
-    wanted = materialize(wanted, "wanted")
-    if wanted.isEmpty():
+    sizes = pairs.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialize(pairs.join(sizes, "bucket"), "buckets")
+    company = materialize(shared.groupBy("node").agg(F.sum("size").alias("company")), "company")
+    few_nodes = company.count()
+    if not few_nodes:
         return spark.createDataFrame([], "hub binary, node binary")
-    few = wanted.count() <= BROADCAST_NODES
+    few = few_nodes <= BROADCAST_NODES
     contents = docs.select("text").mapInArrow(_contents, "node binary, once binary, more binary")
+    wanted = company.select("node")
     contents = contents.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
     contents = materialize(contents.groupBy("node").agg(F.first("once").alias("once"), F.first("more").alias("more")), "contents")
-    links: DataFrame | None = None
-    while True:
-        # Every bucket's hub against its other nodes; a pair that shares several buckets once.
-        spokes = buckets.filter("hub <> node").select("hub", "node").distinct()
-        hub = contents.select(F.col("node").alias("hub"), F.col("once").alias("hub_once"), F.col("more").alias("hub_more"))
-        found = materialize(spokes.join(hub, "hub").join(contents, "node").mapInArrow(_compare(threshold), "hub binary, node binary"), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        # The hub has met all others. Buckets whose other nodes are of several classes go on.
-        rest = buckets.filter("hub <> node").select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        left = rest.groupBy("bucket").agg(
-            F.count("*").alias("size"), F.min("node").alias("hub"), (F.min("label") != F.max("label")).alias("several"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set")
-        )
-        left = left.filter("several").drop("several")
-        rest = materialize(rest.join(left, "bucket"), "rest")
-        small = rest.filter(F.col("size") <= local)
-        # Buckets with the same nodes are searched once.
-        once = small.groupBy("set", "size", "hub").agg(F.min("bucket").alias("bucket"))
-        inside = small.join(once.select("bucket"), "bucket", "left_semi").select("bucket", "node", "label").join(contents, "node")
-        more = materialize(inside.groupBy("bucket").applyInArrow(_local(threshold), "hub binary, node binary"), "links")
-        links = links.unionByName(more)
-        buckets = rest.filter(F.col("size") > local).select("bucket", "node", "size", "hub")
-        if buckets.isEmpty():
-            return links
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, local: int = LOCAL) -> DataFrame:
+    hubs = shared.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    buckets = materialize(shared.join(hubs, "bucket"), "hubs")
+    spokes = buckets.filter("hub <> node").select("hub", "node").distinct()
+    hub = contents.select(F.col("node").alias("hub"), F.col("once").alias("hub_once"), F.col("more").alias("hub_more"))
+    links = materialize(spokes.join(hub, "hub").join(contents, "node").mapInArrow(_compare(threshold), "hub binary, node binary"), "links")
+    labels = components(links)
+    named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_hub = named.filter("hub = node").select("bucket", F.col("label").alias("hub_label"))
+    # The hub has met all others, so a bucket of two is done.
+    rest = named.filter("size > 2").join(of_hub, "bucket").withColumn("active", F.col("label") != F.col("hub_label"))
+    left = rest.groupBy("bucket").agg(F.count_if("active").alias("n_active"), F.sum(F.xxhash64("node", "active").cast("decimal(38,0)")).alias("set")).filter("n_active > 0")
+    # Buckets with the same nodes are searched once.
+    once = left.join(sizes, "bucket").groupBy("set", "size", "n_active").agg(F.min("bucket").alias("bucket"))
+    rest = materialize(rest.join(once.select("bucket", "n_active"), "bucket").select("bucket", "node", "label", "active", "size", "n_active"), "rest")
+    if rest.isEmpty():
+        return links
+    part = lambda n: F.ceil(F.col(n) / F.lit(float(block))).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), part(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), part(n) - 1))
+    rows = rest.filter("active").select("bucket", place("n_active").alias("i"), every("size").alias("j"), "node", "label", "active")
+    rows = rows.unionByName(rest.select("bucket", every("n_active").alias("i"), place("size").alias("j"), "node", "label", F.lit(False).alias("active")))
+    more = rows.join(contents, "node").groupBy("bucket", "i", "j").applyInArrow(_meet(threshold), "hub binary, node binary")
+    return links.unionByName(materialize(more, "links"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``id_col``, rid, class_id, class_size, kept.
 
     Two texts are linked when they share a band and their similarity is ``threshold`` or more; a
@@ -283,7 +312,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = materialize(source.mapInArrow(_sign(bands, rows), "id long, rid long, node binary, bands array<long>"), "signatures")
     signed = signed.withColumn("row", F.monotonically_increasing_id())  # fixed: the rows of stored files
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
-    labels = components(near_links(source.select("text"), nodes, threshold, local))
+    labels = components(near_links(source.select("text"), nodes, threshold, block))
     flat = signed.select("id", "rid", "row", F.coalesce("node", F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary")).alias("node"))
     classed = materialize(flat.join(labels, "node", "left").select("id", "rid", "row", F.coalesce("label", "node").alias("label")), "classes")
     top = classed.groupBy("label").agg(F.min(F.struct("id", "row")).alias("top"), F.count("*").alias("class_size"))
