@@ -155,7 +155,7 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes]:
 
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 19, 500):
             texts = _bytes(batch)
             doc, element, count = shingles(texts)
             keys = band_keys(dart_signatures(doc, element, count.astype(np.float64), len(texts), bands * rows), bands, rows).view(np.int64)
@@ -167,7 +167,7 @@ def _sign(bands: int, rows: int):
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 19, 500):
         found = _elements(_bytes(batch))
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary()), pa.array([f[2].tobytes() for f in found], pa.binary())], ["node", "once", "more"])
 
@@ -178,7 +178,7 @@ def _content(once: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "once"):
             c = {n: batch.column(n).to_pylist() for n in ("once", "more", "hub_once", "hub_more")}
             keep = [similarity(_content(a, b), _content(x, y)) >= threshold for a, b, x, y in zip(*c.values(), strict=True)]
             yield batch.select(["hub", "node"]).filter(pa.array(keep, pa.bool_()))

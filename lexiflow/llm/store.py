@@ -52,8 +52,8 @@ def stored_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the values of ``column`` in one slice come to about ``most`` bytes (one row at least)."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the values of ``column`` in one slice come to about ``most`` bytes (one row at least), in at most ``rows`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,7 +61,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
         sizes = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
         start = total = 0
         for i, n in enumerate(sizes):
-            if total and total + n > most:
+            if i > start and (total + n > most or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
