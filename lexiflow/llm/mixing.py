@@ -62,12 +62,18 @@ def fit_domains(texts: Sequence[bytes], domain: np.ndarray, n_domains: int, step
     n_surface = len(SURFACE)
     if not len(texts):
         return DomainModel(np.zeros(n_surface), np.ones(n_surface), np.zeros((n_surface, n_domains)), np.zeros((BINS, n_domains)), np.zeros(n_domains))
-    raw = dense(texts)[:, :n_surface]
-    mean, scale = raw.mean(axis=0), raw.std(axis=0) + 1e-6
-    x = np.clip((raw - mean) / scale, -6, 6).astype(np.float64)
-    row, column, value = hashed_words(texts, BINS)
-    value = value * 4
-    by_column = np.argsort(column, kind="stable")
+    raw, rows, columns, values = [], [], [], []
+    for a in range(0, len(texts), 100):  # a few texts at a time: their arrays are many times their size
+        some = texts[a : a + 100]
+        raw.append(dense(some)[:, :n_surface])
+        row, column, value = hashed_words(some, BINS)
+        rows.append((row + a).astype(np.int32))
+        columns.append(column.astype(np.int32))
+        values.append((value * 4).astype(np.float32))
+    row, column, value = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+    x = np.concatenate(raw)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    x = np.clip((x - mean) / scale, -6, 6).astype(np.float64)
     truth = np.eye(n_domains)[domain]
     shares = (truth.sum(axis=0) + 1) / (len(texts) + n_domains)
     sizes = (n_surface, BINS, 1)
@@ -82,7 +88,7 @@ def fit_domains(texts: Sequence[bytes], domain: np.ndarray, n_domains: int, step
         p = np.exp(z)
         p /= p.sum(axis=1, keepdims=True)
         g = (p - truth) / len(texts)
-        words = np.stack([np.bincount(column[by_column], (g[row, k] * value)[by_column], minlength=BINS) for k in range(n_domains)], axis=1)
+        words = np.stack([np.bincount(column, g[row, k] * value, minlength=BINS) for k in range(n_domains)], axis=1)
         for j, grad in enumerate((x.T @ g + decay * w[0], words + decay * w[1], g.sum(axis=0, keepdims=True))):
             m[j] = 0.9 * m[j] + 0.1 * grad
             v[j] = 0.999 * v[j] + 0.001 * grad * grad
@@ -114,7 +120,7 @@ def train_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def _describe(model: DomainModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             p = model.posteriors(texts)
             n = np.array([len(t.split()) for t in texts], np.int64)
@@ -227,7 +233,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float
     marked = docs.withColumn("__rid", F.xxhash64(F.col(id_col).cast("long"), text)).withColumn("__text", text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 4 << 20):
+        for batch in slices(batches, "__text", 1 << 20):
             p = model.posteriors([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("__text").to_pylist()])
             rates = replay(p, found.history, found.start, found.floor, found.ceiling)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*names, "__rid")), pa.array(rates)], [*names, "__rid", "__rate"])
