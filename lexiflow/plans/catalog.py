@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiflow.plans import corpus_queries, flagship, stats_queries, text_queries, token_queries  # noqa: F401
+from lexiflow.plans import corpus_queries, flagship, more_queries, stats_queries, text_queries, token_queries  # noqa: F401
 from lexiflow.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
