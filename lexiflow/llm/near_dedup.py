@@ -233,17 +233,22 @@ def _meet(threshold: float):
 def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
     """node, label: the least node of each node's component, for every node that has a link.
 
-    Each round a node takes the least label around it, then its label's label, so a component of
-    radius ``r`` takes about ``log r`` rounds. Rounds are written to the shared folder.
+    Each round a node takes the least label around it (itself included), then that label's label,
+    so a component of radius ``r`` takes about ``log r`` rounds. Rounds are written to the shared
+    folder. Labels are broadcast while there are few, and joined beyond.
     """
-    edges = materialize(links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct(), "edges")
-    labels = materialize(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "node"), "labels")
+    x, y = F.col(a).alias("x"), F.col(b).alias("y")
+    back = (F.col(b).alias("x"), F.col(a).alias("y"))
+    itself = F.explode(F.array(a, b)).alias("x")
+    edges = materialize(links.select(x, y).unionByName(links.select(*back)).unionByName(links.select(itself).withColumn("y", F.col("x"))).distinct(), "edges")
+    labels = materialize(edges.groupBy("x").agg(F.min("y").alias("label")).withColumnRenamed("x", "node"), "labels")
+    few = labels.count() <= BROADCAST_NODES
+    side = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     while True:
-        around = edges.join(labels.select(F.col("node").alias("y"), F.col("label").alias("near")), "y").groupBy("x").agg(F.min("near").alias("near"))
-        step = labels.join(around.withColumnRenamed("x", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        seen = edges.join(side(labels.select(F.col("node").alias("y"), F.col("label").alias("near"))), "y")
+        around = seen.groupBy("x").agg(F.min("near").alias("mid"), F.max(F.when(F.col("x") == F.col("y"), F.col("near"))).alias("old"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = step.join(jump, "mid", "left").select("node", "old", F.least("mid", "far").alias("label"))
-        new = materialize(step, "labels")
+        new = materialize(around.join(side(jump), "mid", "left").select(F.col("x").alias("node"), "old", F.least("mid", "far").alias("label")), "labels")
         moved = not new.filter("old <> label").isEmpty()
         labels = new.select("node", "label")
         if not moved:
