@@ -66,12 +66,12 @@ class Flat:
         return total * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def dense(texts: Sequence[bytes]) -> np.ndarray:
-    """(n, DENSE) float32: what ``SURFACE`` names, then shares of hashed byte pairs. An empty text has zeros."""
-    out = np.zeros((len(texts), DENSE), np.float32)
+def dense(texts: Sequence[bytes], pairs: bool = True, flat: Flat | None = None) -> np.ndarray:
+    """(n, DENSE) float32: what ``SURFACE`` names, then, unless left out, shares of hashed byte pairs. An empty text has zeros."""
+    out = np.zeros((len(texts), DENSE if pairs else len(SURFACE)), np.float32)
     if not len(texts):
         return out
-    flat = Flat(texts)
+    flat = flat or Flat(texts)
     size = np.maximum(flat.lengths, 1).astype(np.float64)
     owner = np.repeat(np.arange(flat.n), flat.lengths + 1)
     k = len(_CLASSES)
@@ -95,6 +95,9 @@ def dense(texts: Sequence[bytes]) -> np.ndarray:
     # Against the share that a text of this length has on average: longer texts say old words more often.
     out[:, k + 3 + len(columns)] = distinct * np.log1p(words) / 4
     out[:, k + 4 + len(columns)] = np.sqrt(out[:, 6])
+    out[flat.lengths == 0] = 0
+    if not pairs:
+        return out
     pair = ((flat.data[:-1].astype(np.uint32) * 0x9E37 + flat.data[1:].astype(np.uint32) * 0x85EB) >> 6) & (PAIR_BINS - 1)
     table = np.bincount(owner[:-1] * PAIR_BINS + pair, minlength=flat.n * PAIR_BINS).reshape(flat.n, PAIR_BINS)
     out[:, len(SURFACE) :] = table / size[:, None]
@@ -102,9 +105,9 @@ def dense(texts: Sequence[bytes]) -> np.ndarray:
     return out
 
 
-def hashed_words(texts: Sequence[bytes], bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_words(texts: Sequence[bytes], bins: int, flat: Flat | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct folded words, and beginnings of words, of each text as bins: row of each entry, its bin, its weight (unit length per row)."""
-    flat = Flat(texts)
+    flat = flat or Flat(texts)
     codes = [(flat.word_hashes(fold=True, most=n) * np.uint64(2 * n + 1) >> np.uint64(20)).astype(np.int64) % bins for n in (0, WORD_BEGIN)]
     key = np.unique(np.concatenate([flat.doc * bins + c for c in codes]))
     row, column = key // bins, key % bins

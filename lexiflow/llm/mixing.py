@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexiflow.llm.features import SURFACE, dense, hashed_words
+from lexiflow.llm.features import SURFACE, Flat, dense, hashed_words
 from lexiflow.llm.store import materialize, slices
 
 #: Domains of the labels table: by toxicity first, then by quality.
@@ -44,8 +44,11 @@ class DomainModel:
     bias: np.ndarray
 
     def posteriors(self, texts: Sequence[bytes]) -> np.ndarray:
-        z = _surface(texts, self.mean, self.scale) @ self.surface + self.bias
-        row, column, value = hashed_words(texts, BINS)
+        if not len(texts):
+            return np.zeros((0, len(self.bias)))
+        flat = Flat(texts)
+        z = np.clip((dense(texts, False, flat) - self.mean) / self.scale, -6, 6).astype(np.float64) @ self.surface + self.bias
+        row, column, value = hashed_words(texts, BINS, flat)
         for k in range(z.shape[1]):
             z[:, k] += np.bincount(row, self.words[column, k] * value, minlength=len(texts))
         z -= z.max(axis=1, keepdims=True)
@@ -53,10 +56,6 @@ class DomainModel:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def _surface(texts: Sequence[bytes], mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return np.clip((dense(texts)[:, : len(SURFACE)] - mean) / scale, -6, 6).astype(np.float64)
-
-
 def fit_domains(texts: Sequence[bytes], domain: np.ndarray, n_domains: int, steps: int = 120, rate: float = 0.15, decay: float = 1e-5) -> DomainModel:
     """Cross-entropy by full-batch Adam from zero weights. Without rows, all domains are equally likely."""
     n_surface = len(SURFACE)
@@ -65,7 +64,7 @@ def fit_domains(texts: Sequence[bytes], domain: np.ndarray, n_domains: int, step
     raw, rows, columns, values = [], [], [], []
     for a in range(0, len(texts), 100):  # a few texts at a time: their arrays are many times their size
         some = texts[a : a + 100]
-        raw.append(dense(some)[:, :n_surface])
+        raw.append(dense(some, False))
         row, column, value = hashed_words(some, BINS)
         rows.append((row + a).astype(np.int32))
         columns.append(column.astype(np.int32))
