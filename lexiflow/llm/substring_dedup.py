@@ -230,7 +230,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("rid"), text.alias("text"))
 
     places = materialize(rows().mapInArrow(_anchors(window), "id long, rid long, anchor long"), "anchors")
-    repeated = places.groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1")
+    # Stored, so that both sides of the join are plain exchanges and Spark can split a frequent anchor's.
+    repeated = materialize(places.groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1"), "repeated-anchors")
     held = places.join(repeated, "anchor").groupBy("id", "rid").agg(F.collect_set(F.struct("anchor", (F.col("places") > hot).alias("hot"))).alias("anchors"))
     held = materialize(held, "held-anchors").select(F.col("id").alias("hid"), F.col("rid").alias("hrid"), "anchors")
     shards = max(1, -(-(held.agg(F.sum(F.size("anchors"))).first()[0] or 0) // shard_places))
@@ -241,8 +242,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_shard = distinct.groupBy("shard").applyInArrow(_search(window), "key binary, spans array<int>")
     single = cut.filter("shard IS NULL").groupBy("key").count().filter("count > 1").select("key", F.array(F.lit(0), F.lit(1)).alias("spans"))
     # A key of one window may come from both: they say the same.
-    spans = materialize(in_shard.unionByName(single), "spans")
-    found = cut.select("key", "id", "rid", "first").join(spans.dropDuplicates(["key"]), "key")
+    spans = materialize(in_shard.unionByName(single).dropDuplicates(["key"]), "spans")
+    found = cut.select("key", "id", "rid", "first").join(spans, "key")
     found = found.groupBy("id", "rid").agg(F.collect_list(F.struct("first", "spans")).alias("found")).select(F.col("id").alias("fid"), F.col("rid").alias("frid"), "found")
     found = materialize(found, "found")
     schema = "id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:int,end:int>>" + ", kept string" * keep_text
