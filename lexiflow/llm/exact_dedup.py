@@ -114,8 +114,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id stays; of several rows with that id, one. A null text counts as empty, a null id sorts below
     all others, an empty table gives no rows, and other columns are not looked at.
     """
-    named = name_documents(docs, id_col, text_col, block_bytes)
-    top = named.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "rid")).alias("top"), F.count("*").alias("group_size"))
+    named = materialize(name_documents(docs, id_col, text_col, block_bytes), "named")
+    # Stored, so that both sides of the join are plain exchanges and Spark can split a large group's.
+    top = materialize(named.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "rid")).alias("top"), F.count("*").alias("group_size")), "groups")
     return named.join(top, ["n_blocks", "name"]).select(
         F.col("id").alias(id_col), F.col("top.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), F.lower(F.hex("text_digest")).alias("text_sha256")
     )
