@@ -320,7 +320,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(near_links(source.select("text"), nodes, threshold, block))
     flat = signed.select("id", "rid", "row", F.coalesce("node", F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary")).alias("node"))
     classed = materialize(flat.join(labels, "node", "left").select("id", "rid", "row", F.coalesce("label", "node").alias("label")), "classes")
-    top = classed.groupBy("label").agg(F.min(F.struct("id", "row")).alias("top"), F.count("*").alias("class_size"))
+    # Stored, so that both sides of the join are plain exchanges and Spark can split a large class's.
+    top = materialize(classed.groupBy("label").agg(F.min(F.struct("id", "row")).alias("top"), F.count("*").alias("class_size")), "tops")
     return classed.join(top, "label").select(F.col("id").alias(id_col), "rid", F.col("top.id").alias("class_id"), "class_size", (F.col("row") == F.col("top.row")).alias("kept"))
 
 
