@@ -318,7 +318,7 @@ def o15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_docs(spark, sf_dir).withColumn("decile", F.ntile(10).over(w).cast("long")).groupBy("lang", "decile").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean")), "mean")
 
 
-@query("o16_o18_candidates", "SELECT alpha, beam, CAST(row_number() OVER (ORDER BY alpha, beam) AS BIGINT) AS ord FROM (SELECT unnest([0.0, 0.5, 1.0]) AS alpha), (SELECT unnest([1, 4, 8]) AS beam)")
+@query("o16_o18_candidates", "SELECT alpha, beam, CAST(row_number() OVER (ORDER BY alpha, beam) AS BIGINT) AS ord FROM (SELECT CAST(unnest([0.0, 0.5, 1.0]) AS DOUBLE) AS alpha), (SELECT unnest([1, 4, 8]) AS beam)")
 def o18(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(a, b) for a in (0.0, 0.5, 1.0) for b in (1, 4, 8)]
     return spark.createDataFrame([(a, b, k + 1) for k, (a, b) in enumerate(rows)], "alpha double, beam int, ord long")
