@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.formulas import hash_number
+from lexiflow.operators import stats
 
 
 def resample_weights(df: DataFrame, id_col: str, reps: int, seed: str) -> DataFrame:
@@ -33,6 +34,25 @@ def interval(samples: DataFrame, value: str, reps: int, keys: list[str] | None =
     return ranked.groupBy(*(keys or [])).agg(F.max(F.when(F.col("__n") == low, F.col(value))).alias("low"), F.max(F.when(F.col("__n") == high, F.col(value))).alias("high"))
 
 
+def interpolated(samples: DataFrame, values: list[str], keys: list[str] | None = None) -> DataFrame:
+    """keys, and low and high of each value: percentiles 2.5 and 97.5, interpolated."""
+    picks = [F.percentile(v, F.lit(q)).alias(f"{v}_{side}") for v in values for side, q in (("low", 0.025), ("high", 0.975))]
+    return samples.groupBy(*(keys or [])).agg(*picks)
+
+
+def mix_and_rate_intervals(df: DataFrame, id_col: str, cls: str, side: str, value: str, reps: int, seed: str) -> DataFrame:
+    """class, then low and high of mix, rate and gap (the whole table's, side 0 less side 1), of means split anew on every draw; either side is drawn within itself.
+
+    A class that a draw lacks counts there with terms of 0, so every interval is of all ``reps`` draws.
+    """
+    sums = resampled_sums(df.select(id_col, F.col(cls).alias("class"), F.col(side).alias("__side"), F.col(value).alias("s")), id_col, ["s"], reps, seed, ["class", "__side"])
+    wide = sums.groupBy("class", "rep").agg(*(F.sum(F.when(F.col("__side") == k, F.col(c))).alias(f"{c}{x}") for k, x in ((0, "a"), (1, "b")) for c in ("s", "n")))
+    every = df.select(F.col(cls).alias("class")).distinct().crossJoin(df.sparkSession.range(reps).select(F.col("id").cast("int").alias("rep")))  # classes by draws
+    terms = stats.mix_and_rate(every.join(wide, ["class", "rep"], "left").fillna(0, ["sa", "na", "sb", "nb"]), ["rep"])
+    terms = terms.withColumn("gap", F.sum(F.col("mix") + F.col("rate")).over(Window.partitionBy("rep")))
+    return interpolated(terms, ["mix", "rate", "gap"], ["class"])
+
+
 def clipped(low: Column, high: Column, point: Column) -> tuple[Column, Column]:
     """An interval widened to hold its point."""
     return F.least(low, point), F.greatest(high, point)

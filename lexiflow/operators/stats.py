@@ -75,3 +75,12 @@ def merged_counts(df: DataFrame, maps: str) -> DataFrame:
 def vector_mean(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
     """Element-wise mean of arrays: keys, pos, mean."""
     return df.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+def mix_and_rate(classes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Of class, sa, na, sb, nb (sums and counts of two sides; 0 for a class that a side lacks) within ``keys``: each class's part of the gap in means (a less b) by its share, ``mix``, and by its mean, ``rate``; they sum to the gap."""
+    whole = Window.partitionBy(*(keys or [F.lit(1)]))  # a row per class
+    share = lambda k: F.col(f"n{k}") / F.nullif(F.sum(f"n{k}").over(whole), F.lit(0))
+    mean = lambda k, other: F.coalesce(F.col(f"s{k}") / F.nullif(F.col(f"n{k}"), F.lit(0)), F.col(f"s{other}") / F.nullif(F.col(f"n{other}"), F.lit(0)), F.lit(0.0))
+    t = classes.select(*keys, "class", share("a").alias("wa"), share("b").alias("wb"), mean("a", "b").alias("ma"), mean("b", "a").alias("mb"))
+    return t.selectExpr(*keys, "class", "(wa - wb) * (ma + mb) / 2 AS mix", "(ma - mb) * (wa + wb) / 2 AS rate")

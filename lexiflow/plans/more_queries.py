@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiflow.functions import text as T
 from lexiflow.functions.formulas import hash_number
 from lexiflow.operators import batching, checks, logs, regression, resample
 from lexiflow.plans.registry import EVAL_SQL, evals, query
@@ -61,14 +62,31 @@ def b06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.interval(made, "o", 100).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("b14_b20_refitted_slope", _DRAWN.replace("s AS (SELECT rep, 0.8", "q AS (SELECT rep, 0.8").replace(", r AS (SELECT o, row_number() OVER (ORDER BY o, rep) AS n FROM s)", "") + ", m AS (SELECT rep, sum(t * x) / sum(t) AS mean FROM w GROUP BY rep) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m")
+@query("b02_interpolated_interval", _DRAWN.replace("s AS (SELECT rep, 0.8", "q AS (SELECT rep, 0.8").replace(", r AS (SELECT o, row_number() OVER (ORDER BY o, rep) AS n FROM s)", "") + ", m AS (SELECT rep, sum(t * x) / sum(t) AS mean FROM w GROUP BY rep) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m")
 def b14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The interpolating interval, of a statistic that is fitted anew on every draw (here a constant)."""
+    """The interpolating interval, of a mean."""
     v = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("double").alias("x"))
     sums = resample.resampled_sums(v, "doc_id", ["x"], 100, "o").withColumn("mean", F.col("x") / F.col("n"))
     return sums.agg(F.round(F.percentile("mean", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 6).alias("high"))
 
 
+@query("b14_refitted_decomposition")
+def b14_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gap in lengths of English and other texts, what words and marks explain of it, and intervals of decompositions fitted anew on 1,000 draws."""
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("double").alias("y"), T.word_count(text).cast("double").alias("words"), T.punct_density(text).alias("punct"), (F.col("lang") != "en").cast("int").alias("side"))
+    got = regression.refitted_gap(docs, "doc_id", "side", "y", ["words", "punct"], 1000, "d")
+    return spark.createDataFrame([(k, *(round(x, 6) for x in v)) for k, v in got.items()], "quantity string, point double, low double, high double")
+
+
+@query("b20_mix_and_rate_intervals")
+def b20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of g29's terms, split anew on 1,000 draws."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("doc_id") % 2).alias("side"), F.col("n_chars").cast("double").alias("x"))
+    got = resample.mix_and_rate_intervals(docs, "doc_id", "lang", "side", "x", 1000, "d")
+    return got.select("class", *(F.round(c, 4).alias(c) for c in got.columns[1:]))
+
+
 @query("b19_estimands")
 def b19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of a gap in means that lengths in words explain, by the slope of the pooled rows and of either group."""

@@ -114,12 +114,8 @@ def g26(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g29(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.col("doc_id") % 2
-    c = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("class")).agg(*(f(F.when(half == k, F.col("n_chars"))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("s", F.sum), ("n", F.count))))
-    whole = Window.partitionBy(F.lit(1))  # a row per class
-    w = lambda k: F.col(f"n{k}") / F.sum(f"n{k}").over(whole)
-    m = lambda k: F.coalesce(F.col(f"s{k}") / F.nullif(F.col(f"n{k}"), F.lit(0)), F.col(f"s{1 - k}") / F.nullif(F.col(f"n{1 - k}"), F.lit(0)))
-    t = c.select("class", w(0).alias("wa"), w(1).alias("wb"), m(0).alias("ma"), m(1).alias("mb"))
-    return _round(t.selectExpr("class", "(wa - wb) * (ma + mb) / 2 AS mix", "(ma - mb) * (wa + wb) / 2 AS rate"), "mix", "rate", digits=4)
+    c = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("class")).agg(*(f(F.when(half == k, F.col("n_chars"))).alias(f"{n}{x}") for k, x in ((0, "a"), (1, "b")) for n, f in (("s", F.sum), ("n", F.count))))
+    return _round(stats.mix_and_rate(c), "mix", "rate", digits=4)
 
 
 @query("g30_g33_g48_summary", "SELECT user_id, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(median(value), 6) AS median, round(sum(value) / 3600, 6) AS hours FROM events GROUP BY user_id")

@@ -1,12 +1,16 @@
 """Queries without SQL do the whole job: held against plain Python on the smallest tables."""
 
+import hashlib
 import math
+import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 import regex
 
+from lexiflow.operators import regression, resample
 from lexiflow.plans import catalog
 from lexiflow.plans.registry import EVAL_SQL
 
@@ -52,3 +56,63 @@ def test_whole_texts_count(spark, sf, evals):
     for s in slices:
         assert bleu[s] == pytest.approx(plain_bleu([want[e[0]] for e in evals if e[1] == s]), abs=1e-5)
     assert bleu["all"] == pytest.approx(plain_bleu(list(want.values())), abs=1e-5)
+
+
+def plain_times(seed, i, rep):
+    u = int(hashlib.md5(f"{seed}:{i}:{rep}".encode()).hexdigest()[:15], 16) / 2**60
+    return sum(u >= x for x in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462))
+
+
+def plain_gap(y, x, side):
+    """Fits on the drawn rows themselves; of two columns, a Shapley value is the mean over both orders."""
+
+    def fit(cols):
+        a = np.column_stack([np.ones(len(y)), *(x[:, c] for c in cols), side])
+        beta = np.linalg.lstsq(a, y, rcond=None)[0]
+        explained = sum(b * (x[side == 0, c].mean() - x[side == 1, c].mean()) for b, c in zip(beta[1:], cols))
+        return np.array([explained, 1 - ((y - a @ beta) ** 2).sum() / ((y - y.mean()) ** 2).sum()])
+
+    none, a, b, both = fit([]), fit([0]), fit([1]), fit([0, 1])
+    gap = y[side == 0].mean() - y[side == 1].mean()
+    pa, pb = (a - none + both - b) / 2, (b - none + both - a) / 2
+    out = {"gap": gap, "residual": gap - both[0], "part_a": pa[0], "r2_a": pa[1], "part_b": pb[0], "r2_b": pb[1]}
+    return out | {f"share_{k}": out[k] / gap for k in ("residual", "part_a", "part_b")}
+
+
+def test_decomposition_is_fitted_on_every_draw(spark):
+    rng = np.random.default_rng(5)
+    n, reps = 80, 30
+    side = np.arange(n) % 2
+    x = rng.normal(size=(n, 2)) + side[:, None]
+    y = 3000 + 2 * x[:, 0] - x[:, 1] + side + rng.normal(size=n)
+    df = spark.createDataFrame([(i, int(side[i]), float(y[i]), *map(float, x[i])) for i in range(n)], "id long, side int, y double, a double, b double")
+    got = regression.refitted_gap(df, "id", "side", "y", ["a", "b"], reps, "s")
+    draws = [np.repeat(np.arange(n), [plain_times("s", i, rep) for i in range(n)]) for rep in range(reps)]
+    fits, point = [plain_gap(y[d], x[d], side[d]) for d in draws], plain_gap(y, x, side)
+    assert set(got) == set(point)
+    for k, (p, low, high) in got.items():
+        assert (p, low, high) == pytest.approx((point[k], *np.percentile([f[k] for f in fits], [2.5, 97.5])), rel=1e-5, abs=1e-6), k
+        assert low < high
+
+
+def test_mix_and_rate_are_split_on_every_draw(spark):
+    rng = random.Random(6)
+    rows = [(i, "ab"[i % 3 == 0], i % 2, float(rng.randint(1, 50))) for i in range(40)] + [(100, "rare", 0, 9.0)]  # no draw has "rare" on side 1, some have none
+    reps, classes = 40, ("a", "b", "rare")
+    got = {r["class"]: r for r in resample.mix_and_rate_intervals(spark.createDataFrame(rows, "id long, k string, side int, x double"), "id", "k", "side", "x", reps, "s").collect()}
+    samples = {(c, t): [] for c in classes for t in ("mix", "rate", "gap")}
+    for rep in range(reps):
+        s, n = Counter(), Counter()
+        for i, k, side, x in rows:
+            t = plain_times("s", i, rep)
+            s[k, side] += t * x
+            n[k, side] += t
+        sides = [sum(n[c, e] for c in classes) for e in (0, 1)]
+        samples_gap = sum(s[c, 0] for c in classes) / sides[0] - sum(s[c, 1] for c in classes) / sides[1]
+        for c in classes:
+            m = [s[c, e] / n[c, e] if n[c, e] else s[c, 1 - e] / n[c, 1 - e] if n[c, 1 - e] else 0.0 for e in (0, 1)]
+            w = [n[c, e] / sides[e] for e in (0, 1)]
+            for t, v in (("mix", (w[0] - w[1]) * sum(m) / 2), ("rate", (m[0] - m[1]) * sum(w) / 2), ("gap", samples_gap)):
+                samples[c, t].append(v)
+    for (c, t), v in samples.items():
+        assert (got[c][f"{t}_low"], got[c][f"{t}_high"]) == pytest.approx(tuple(np.percentile(v, [2.5, 97.5])), abs=1e-9), (c, t)
