@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,13 @@ def strict_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
+def labelled(inputs: DataFrame, labels: DataFrame, key: str, own: Column) -> DataFrame:
+    """Inputs, when all keys are the set's ``own`` and have a label; else an error."""
+    require_empty(inputs.filter(~F.coalesce(own, F.lit(False))).select(key), f"{key} of another set")
+    require_empty(inputs.select(key).join(labels.select(key), key, "left_anti"), f"{key} without a label")
+    return inputs
+
+
 def mismatches(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Keys whose values differ or that one side lacks."""
     both = a.select(key, F.col(value).alias("left")).join(b.select(key, F.col(value).alias("right")), key, "full_outer")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.formulas import hash_number
-from lexiflow.operators import stats
+from lexiflow.operators import metrics, stats
 
 
 def resample_weights(df: DataFrame, id_col: str, reps: int, seed: str) -> DataFrame:
@@ -64,3 +64,46 @@ def paired(samples: DataFrame, a: str, b: str, reps: int, keys: list[str] | None
     p = delta.groupBy(*(keys or [])).agg(F.avg((F.col("delta") <= 0).cast("double")).alias("p"))
     ci = interval(delta, "delta", reps, keys)
     return ci.join(p, keys) if keys else ci.crossJoin(p)  # one row each
+
+
+def slice_intervals(df: DataFrame, id_col: str, keys: list[str], value: str, reps: int, seed: str) -> DataFrame:
+    """keys, n, then point, low and high of BLEU (from its statistics) and of the mean of ``value``."""
+    point = df.groupBy(*keys).agg(F.count("*").alias("n"), *metrics.summed(), F.avg(value).alias("mean")).select(*keys, "n", metrics.bleu().alias("bleu"), "mean")
+    sums = resampled_sums(df, id_col, [*metrics.STATS, value], reps, seed, keys)
+    drawn = sums.select(*keys, "rep", metrics.bleu().alias("bleu"), (F.col(value) / F.col("n")).alias("mean"))
+    out = point
+    for v in ("bleu", "mean"):
+        w = Window.partitionBy(*keys)
+        m = F.count("*").over(w)  # a slice of few rows has draws without any; its interval is of the others
+        ranked = drawn.select(*keys, v, F.row_number().over(w.orderBy(v, "rep")).alias("__n"), (F.floor(0.025 * m) + 1).alias("__low"), F.least(m, F.floor(0.975 * m) + 1).alias("__high"))
+        out = out.join(ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("__n") == F.col(f"__{side}"), F.col(v))).alias(f"{v}_{side}") for side in ("low", "high"))), keys)
+    low, high = clipped(F.col("bleu_low"), F.col("bleu_high"), F.col("bleu"))
+    return out.select(*keys, "n", "bleu", low.alias("bleu_low"), high.alias("bleu_high"), "mean", "mean_low", "mean_high")
+
+
+def complete_runs(rows: DataFrame, ids: DataFrame, id_col: str, run: str) -> list[str]:
+    """Runs that have a row for every id, in order of name."""
+    n = ids.select(id_col).distinct().count()
+    got = rows.join(ids.select(id_col).distinct(), id_col, "left_semi").groupBy(run).agg(F.countDistinct(id_col).alias("n"))
+    return sorted(r[run] for r in got.filter(F.col("n") == n).collect())
+
+
+def decisions(rows: DataFrame, ids: DataFrame, id_col: str, run: str, split: str, reps: int, seed: str, better: list[str], no_worse: list[str]) -> DataFrame:
+    """Every pair of complete runs, tested both ways on the same draws: better, other, split, delta of BLEU, low, high, p, met, supported.
+
+    In a split of ``better`` delta must be above 0 and p below 0.05; in one of ``no_worse`` the interval must begin above -0.5.
+    A pair is supported when every one of these splits is there and meets its rule.
+    """
+    runs = complete_runs(rows, ids, id_col, run)
+    full = rows.filter(F.col(run).isin(runs) & F.col(split).isin([*better, *no_worse]))
+    sums = resampled_sums(full, id_col, metrics.STATS, reps, seed, [run, split]).select(run, split, "rep", metrics.bleu().alias("v"))
+    point = full.groupBy(run, split).agg(*metrics.summed()).select(run, split, metrics.bleu().alias("v"))
+    side = lambda df, name, v: df.withColumnsRenamed({run: name, "v": v})
+    different = F.col("better") != F.col("other")
+    drawn = side(sums, "better", "a").join(side(sums, "other", "b"), [split, "rep"]).filter(different)
+    tested = paired(drawn, "a", "b", reps, ["better", "other", split])
+    delta = side(point, "better", "a").join(side(point, "other", "b"), split).filter(different).select("better", "other", split, (F.col("a") - F.col("b")).alias("delta"))
+    met = F.when(F.col(split).isin(better), (F.col("delta") > 0) & (F.col("p") < 0.05)).otherwise(F.col("low") > -0.5)
+    each = delta.join(tested, ["better", "other", split]).withColumn("met", met)
+    held = F.sum(F.col("met").cast("long")).over(Window.partitionBy("better", "other"))  # a row per split
+    return each.withColumn("supported", held == len({*better, *no_worse}))

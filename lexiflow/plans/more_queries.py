@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions import text as T
 from lexiflow.functions.formulas import hash_number
-from lexiflow.operators import batching, checks, logs, regression, resample
+from lexiflow.operators import batching, checks, logs, metrics, regression, resample
 from lexiflow.plans.registry import EVAL_SQL, evals, query
 from lexiflow.sources.tables import table
 
@@ -96,12 +96,23 @@ def b19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, round(regression.ols(v, "y", ["x"])["x"][0] * (mean["en"] - mean["other"]), 4)) for k, v in parts.items()], "estimand string, explained double")
 
 
-@query("b21_b26_decision", "WITH d AS (SELECT split, avg(length(hyp_b) - length(hyp)) AS delta FROM (" + f"WITH {EVAL_SQL} SELECT * FROM evals" + ") GROUP BY split) SELECT bool_and(delta > 0) AS holds, count(*) AS sets FROM d")
+@query("g21_longer_in_every_split", "WITH d AS (SELECT split, avg(length(hyp_b) - length(hyp)) AS delta FROM (" + f"WITH {EVAL_SQL} SELECT * FROM evals" + ") GROUP BY split) SELECT bool_and(delta > 0) AS holds, count(*) AS sets FROM d")
 def b21(spark: SparkSession, sf_dir: str) -> DataFrame:
     delta = evals(spark, sf_dir).groupBy("split").agg(F.avg(F.length("hyp_b") - F.length("hyp")).alias("delta"))
     return delta.agg(F.bool_and(F.col("delta") > 0).alias("holds"), F.count("*").alias("sets"))
 
 
+@query("b21_b26_paired_decisions")
+def b21_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of systems with a row for every document, by BLEU on 1,000 draws: better on e2 and e3, not worse on e1. System c lacks every seventh document, so it is in no pair."""
+    rows = evals(spark, sf_dir)
+    run = lambda name, hyp: metrics.bleu_stats(rows, hyp, keep=["doc_id", "split"]).withColumn("run", F.lit(name))
+    made = run("a", "hyp").unionByName(run("b", "hyp_b"))
+    made = made.unionByName(made.filter("run = 'a' AND doc_id % 7 <> 0").withColumn("run", F.lit("c")))
+    got = resample.decisions(made, rows, "doc_id", "run", "split", 1000, "b", ["e2", "e3"], ["e1"])
+    return got.select("better", "other", "split", *(F.round(c, 6).alias(c) for c in ("delta", "low", "high", "p")), "met", "supported")
+
+
 @query(
     "z11_concat_plan",
     """WITH u AS (SELECT doc_id, CAST('0x' || substr(md5('c:' || doc_id), 1, 15) AS BIGINT) AS h FROM documents), k AS (SELECT doc_id, CASE WHEN h % 100 < 15 THEN 2 + h % 3 ELSE 1 END AS n FROM u)

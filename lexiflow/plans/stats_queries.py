@@ -56,12 +56,21 @@ def g05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("high"), F.count_if(F.col("value") <= 50).alias("low"), F.bool_or(F.col("value") > 99).alias("any_top"))
 
 
-@query("g13_g25_g42_rollup", f"WITH {_DOCS} SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n, round(avg(n_chars), 6) AS mean FROM d GROUP BY ROLLUP (lang, source)")
+@query("g13_rollup", f"WITH {_DOCS} SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n, round(avg(n_chars), 6) AS mean FROM d GROUP BY ROLLUP (lang, source)")
 def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _docs(spark, sf_dir).rollup("lang", "source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean"))
     return _round(got.fillna("all", ["lang", "source"]), "mean")
 
 
+@query("g25_g42_slice_intervals")
+def g25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each language, and of each source within it: BLEU and the mean length, with intervals of 1,000 draws of the slice's own rows; those of BLEU hold their point."""
+    s = metrics.bleu_stats(evals(spark, sf_dir), keep=["doc_id", "slice"])
+    rows = s.join(table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("double").alias("chars")), "doc_id")
+    named = rows.withColumn("source", F.explode(F.array(F.lit("all"), "source")))
+    return _round(resample.slice_intervals(named, "doc_id", ["slice", "source"], "chars", 1000, "b"), "bleu", "bleu_low", "bleu_high", "mean", "mean_low", "mean_high")
+
+
 @query(
     "g17_g18_g49_across_runs",
     """WITH r AS (SELECT event_type, user_id % 5 AS run, avg(value) AS mean_value, max(value) AS max_value FROM events GROUP BY ALL), u AS (SELECT event_type, 'mean_value' AS key, mean_value AS value FROM r UNION ALL SELECT event_type, 'max_value', max_value FROM r),
@@ -387,11 +396,25 @@ def z07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.select("event_type", F.col("head.event_id").alias("first_step"), "points")
 
 
-@query("z10_z13_batches")
-def z10(spark: SparkSession, sf_dir: str) -> DataFrame:
+STEP = 25_000
+
+
+def _stepped_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     chunks = max(1, -(-docs.count() // batching.CHUNK))
-    return batching.padded(batching.plan_batches(docs.select("doc_id", "n"), "doc_id", "n", 8192, "0", chunks), "n")
+    batches = batching.padded(batching.plan_batches(docs.select("doc_id", "n"), "doc_id", "n", 8192, "0", chunks), "n")
+    return batching.stepped(batches, STEP, "0")
+
+
+@query("z10_z13_batches")
+def z10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches in their shuffled order, each with its step; z13_epoch_totals has the totals."""
+    return _stepped_batches(spark, sf_dir)
+
+
+@query("z13_epoch_totals")
+def z13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(batching.replayed(_stepped_batches(spark, sf_dir), STEP, 8192), "median", "p99", "padding_share")
 
 
 @query("z14_chunks", "SELECT doc_id // 250 AS chunk, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL")

@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 import regex
 
-from lexiflow.operators import regression, resample
+from pyspark.sql import functions as F
+
+from lexiflow.operators import batching, checks, metrics, regression, resample
 from lexiflow.plans import catalog
 from lexiflow.plans.registry import EVAL_SQL
 
@@ -116,3 +118,70 @@ def test_mix_and_rate_are_split_on_every_draw(spark):
                 samples[c, t].append(v)
     for (c, t), v in samples.items():
         assert (got[c][f"{t}_low"], got[c][f"{t}_high"]) == pytest.approx(tuple(np.percentile(v, [2.5, 97.5])), abs=1e-9), (c, t)
+
+
+def test_steps_count_as_in_a_loop(spark):
+    rng = random.Random(7)
+    rows = [(c, b, 3, 3 * n - 1, 3 * n) for c in range(12) for b in range(9) for n in [rng.randint(1, 40)]]
+    got = sorted(batching.stepped(spark.createDataFrame(rows, "chunk long, batch long, rows long, real long, padded long"), 100, "s").collect(), key=lambda r: r.place)
+    order = sorted(rows, key=lambda r: hashlib.md5(f"s:{r[0]}:{r[1]}".encode()).hexdigest())
+    step, held, want = 0, 0, []
+    for place, r in enumerate(order):
+        held += r[4]
+        want.append((*r, place, step, held))
+        if held >= 100:
+            step, held = step + 1, 0
+    assert [tuple(r) for r in got] == want
+    t = batching.replayed(spark.createDataFrame(got), 100, 90).first()
+    sizes = [r[4] for r in rows]
+    assert (t.batches, t.examples, t.real, t.padded, t.steps, t.left) == (108, 324, sum(sizes) - 108, sum(sizes), step, held)
+    assert (t.median, t.p99, t.max, t.over_budget) == (np.median(sizes), pytest.approx(np.percentile(sizes, 99)), max(sizes), sum(x > 90 for x in sizes))
+
+
+def made(spark, hyps):
+    """Statistics of runs over 90 references in three splits."""
+    rng = random.Random(8)
+    refs = {i: " ".join(rng.choice("abcdefgh") for _ in range(12)) for i in range(90)}
+    rows = [(i, f"e{i % 3 + 1}", run, *plain_stats(f(i, ref), ref)) for run, f in hyps.items() for i, ref in refs.items() if f(i, ref) is not None]
+    return spark.createDataFrame(rows, "id long, split string, run string, " + ", ".join(f"{s} long" for s in metrics.STATS)), spark.createDataFrame([(i,) for i in refs], "id long")
+
+
+def test_decisions_need_significance_in_every_set(spark):
+    cut = lambda k: lambda i, r: " ".join(w for j, w in enumerate(r.split()) if j % k)
+    good, poor = cut(6), cut(3)
+    rows, ids = made(spark, {"good": good, "poor": poor, "same": good, "split": lambda i, r: poor(i, r) if i % 3 == 0 else good(i, r), "part": lambda i, r: good(i, r) if i else None})
+    assert resample.complete_runs(rows, ids, "id", "run") == ["good", "poor", "same", "split"]
+    got = {}
+    for r in resample.decisions(rows, ids, "id", "run", "split", 60, "s", ["e2", "e3"], ["e1"]).collect():
+        got.setdefault((r.better, r.other), {})[r.split] = r
+    assert len(got) == 12 and all(set(v) == {"e1", "e2", "e3"} for v in got.values())
+    supported = {k for k, v in got.items() if v["e2"].supported}
+    assert supported == {("good", "poor"), ("same", "poor"), ("split", "poor")}
+    assert got["good", "same"]["e2"].delta == 0 and got["good", "same"]["e2"].p == 1 and not got["good", "same"]["e2"].met
+    assert got["split", "poor"]["e1"].met and got["split", "poor"]["e2"].met  # e1 is equal, so not worse
+    assert not got["split", "good"]["e1"].met
+
+
+def test_slices_have_intervals_of_their_own_rows(spark):
+    rows, _ = made(spark, {"x": lambda i, r: r if i % 2 else r[:9]})
+    df = rows.withColumn("chars", F.col("id").cast("double"))
+    lone = resample.slice_intervals(df.filter("id = 1"), "id", ["split"], "chars", 60, "s").first()
+    assert (lone.mean_low, lone.mean_high) == (1.0, 1.0)
+    got = {r.split: r for r in resample.slice_intervals(df, "id", ["split"], "chars", 60, "s").collect()}
+    plain = [tuple(r) for r in df.collect()]
+    for k, r in got.items():
+        own = [p for p in plain if p[1] == k]
+        draws = [[p for p in own for _ in range(plain_times("s", p[0], rep))] for rep in range(60)]
+        means = sorted(sum(p[-1] for p in d) / len(d) for d in draws)
+        bleus = sorted(plain_bleu([p[3:13] for p in d]) for d in draws)
+        assert (r.n, r.mean, r.mean_low, r.mean_high) == (30, pytest.approx(np.mean([p[-1] for p in own])), pytest.approx(means[1]), pytest.approx(means[58]))
+        assert (r.bleu_low, r.bleu_high) == (pytest.approx(min(bleus[1], r.bleu)), pytest.approx(max(bleus[58], r.bleu)))
+
+
+def test_a_set_without_a_label_is_refused(spark):
+    inputs, labels = spark.createDataFrame([(0,), (3,)], "k long"), spark.createDataFrame([(0,)], "k long")
+    assert checks.labelled(inputs.filter("k = 0"), labels, "k", F.col("k") % 3 == 0).count() == 1
+    with pytest.raises(ValueError, match="without a label"):
+        checks.labelled(inputs, labels, "k", F.col("k") % 3 == 0)
+    with pytest.raises(ValueError, match="another set"):
+        checks.labelled(inputs, inputs, "k", F.col("k") == 0)
