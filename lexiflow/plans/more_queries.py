@@ -54,12 +54,21 @@ s AS (SELECT rep, 0.8 * sum(t * x) / sum(t) + 0.2 * coalesce(sum(t * y) / sum(t)
 @query("b06_b25_composite_interval", _DRAWN.replace("sum(t * y) / sum(t) FILTER (y IS NOT NULL)", "sum(t * y) / nullif(sum(t) FILTER (y IS NOT NULL), 0)") + " SELECT round(max(o) FILTER (n = 3), 6) AS low, round(max(o) FILTER (n = 98), 6) AS high FROM r")
 def b06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A composite whose part over a subset falls back to the whole when a draw has none of it."""
+    return _composite(spark, sf_dir, 100)
+
+
+@query("b06_b25_thousand_draws")
+def b06_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _composite(spark, sf_dir, 1000)
+
+
+def _composite(spark: SparkSession, sf_dir: str, reps: int) -> DataFrame:
     x = F.length("text").cast("double")
     v = table(spark, sf_dir, "documents").select("doc_id", x.alias("x"), F.when(F.col("doc_id") % 3 == 0, x).otherwise(0.0).alias("y"), (F.col("doc_id") % 3 == 0).cast("long").alias("m"))
-    sums = resample.resampled_sums(v, "doc_id", ["x", "y", "m"], 100, "o")
+    sums = resample.resampled_sums(v, "doc_id", ["x", "y", "m"], reps, "o")
     whole = F.col("x") / F.col("n")
     made = sums.withColumn("o", 0.8 * whole + 0.2 * F.coalesce(F.col("y") / F.nullif(F.col("m"), F.lit(0)), whole))
-    return resample.interval(made, "o", 100).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return resample.interval(made, "o", reps).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("b02_interpolated_interval", _DRAWN.replace("s AS (SELECT rep, 0.8", "q AS (SELECT rep, 0.8").replace(", r AS (SELECT o, row_number() OVER (ORDER BY o, rep) AS n FROM s)", "") + ", m AS (SELECT rep, sum(t * x) / sum(t) AS mean FROM w GROUP BY rep) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m")

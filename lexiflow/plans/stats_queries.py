@@ -261,13 +261,24 @@ def b02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(resample.interval(means, "mean", 200), "low", "high")
 
 
+#: Draws of the intervals without SQL; those of the SQL are 200 and 100.
+DRAWS = 1000
+
+
+@query("b02_b03_b22_thousand_draws")
+def b02_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("double").alias("x"))
+    means = resample.resampled_sums(v, "doc_id", ["x"], DRAWS, "b").withColumn("mean", F.col("x") / F.col("n"))
+    return _round(resample.interval(means, "mean", DRAWS), "low", "high")
+
+
 @query("b01_b23_bleu_interval")
 def b01(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = metrics.bleu_stats(evals(spark, sf_dir), keep=["doc_id", "slice"])
-    reps = resample.resampled_sums(s, "doc_id", metrics.STATS, 200, "b", ["slice"]).withColumn("bleu", metrics.bleu())
+    reps = resample.resampled_sums(s, "doc_id", metrics.STATS, DRAWS, "b", ["slice"]).withColumn("bleu", metrics.bleu())
     point = s.groupBy("slice").agg(*metrics.summed()).select("slice", metrics.bleu().alias("point"))
     low, high = resample.clipped(F.col("low"), F.col("high"), F.col("point"))
-    return _round(resample.interval(reps, "bleu", 200, ["slice"]).join(point, "slice").select("slice", "point", low.alias("low"), high.alias("high")), "point", "low", "high")
+    return _round(resample.interval(reps, "bleu", DRAWS, ["slice"]).join(point, "slice").select("slice", "point", low.alias("low"), high.alias("high")), "point", "low", "high")
 
 
 @query("b04_b05_b07_b08_paired")
@@ -276,8 +287,8 @@ def b04(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = evals(spark, sf_dir)
     a = metrics.bleu_stats(both, "hyp", keep=["doc_id", "split"])
     b = metrics.bleu_stats(both, "hyp_b", keep=["doc_id"]).select("doc_id", *(F.col(s).alias(f"b_{s}") for s in metrics.STATS))
-    sums = resample.resampled_sums(a.join(b, "doc_id"), "doc_id", [*metrics.STATS, *(f"b_{s}" for s in metrics.STATS)], 200, "b", ["split"])
-    return _round(resample.paired(sums.select("split", "rep", metrics.bleu("b_").alias("b"), metrics.bleu().alias("a")), "b", "a", 200, ["split"]), "low", "high", "p")
+    sums = resample.resampled_sums(a.join(b, "doc_id"), "doc_id", [*metrics.STATS, *(f"b_{s}" for s in metrics.STATS)], DRAWS, "b", ["split"])
+    return _round(resample.paired(sums.select("split", "rep", metrics.bleu("b_").alias("b"), metrics.bleu().alias("a")), "b", "a", DRAWS, ["split"]), "low", "high", "p")
 
 
 @query("b16_r2", f"WITH {_DOCS} SELECT lang, round(regr_r2(n_chars, n), 6) AS r2, round(regr_slope(n_chars, n), 6) AS slope FROM d GROUP BY lang")

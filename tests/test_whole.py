@@ -185,3 +185,28 @@ def test_a_set_without_a_label_is_refused(spark):
         checks.labelled(inputs, labels, "k", F.col("k") % 3 == 0)
     with pytest.raises(ValueError, match="another set"):
         checks.labelled(inputs, inputs, "k", F.col("k") == 0)
+
+
+def test_a_thousand_draws(spark, sf, evals):
+    x = {e[0]: len(e[3]) for e in evals}
+    ids, values = list(x), np.array(list(x.values()), float)
+
+    def draws(seed):
+        return np.array([[plain_times(seed, i, rep) for i in ids] for rep in range(1000)])
+
+    t = draws("b")
+    means = sorted(t @ values / t.sum(1))
+    got = catalog.QUERIES["b02_b03_b22_thousand_draws"](spark, sf).first()
+    assert (got.low, got.high) == pytest.approx((means[25], means[975]), abs=1e-5)
+    t, third = draws("o"), np.array([i % 3 == 0 for i in ids])
+    whole = t @ values / t.sum(1)
+    made = sorted(0.8 * whole + 0.2 * (t[:, third] @ values[third] / t[:, third].sum(1)))
+    got = catalog.QUERIES["b06_b25_thousand_draws"](spark, sf).first()
+    assert (got.low, got.high) == pytest.approx((made[25], made[975]), abs=1e-5)
+    p = [r.p for r in catalog.QUERIES["b04_b05_b07_b08_paired"](spark, sf).collect()]
+    assert p == [0.0] * 3
+    st = {e[0]: plain_stats(e[4], e[3]) for e in evals if e[1] == "en"}
+    drawn = np.array([[plain_times("b", i, rep) for i in st] for rep in range(1000)]) @ np.array(list(st.values()))
+    bleus = sorted(plain_bleu([d]) for d in drawn.tolist())
+    got = {r.slice: r for r in catalog.QUERIES["b01_b23_bleu_interval"](spark, sf).collect()}["en"]
+    assert (got.low, got.high) == pytest.approx((bleus[25], bleus[975]), abs=1e-5)
