@@ -6,6 +6,7 @@ per byte whatever its length.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,7 +30,8 @@ DENSE = len(SURFACE) + PAIR_BINS
 _CLASS_OF = np.full(256, len(_CLASSES), np.uint8)
 for _k, _members in enumerate(_CLASSES.values()):
     _CLASS_OF[list(_members)] = _k
-_POWERS = np.array([pow(0x100000001B3, k, 1 << 64) for k in range(4096)], np.uint64)
+#: Bytes whose words are hashed at once.
+STRETCH = 1 << 18
 
 
 class Flat:
@@ -47,23 +49,94 @@ class Flat:
         self.doc = np.searchsorted(self.begin, self.start, "right") - 1
         self.n_words = np.bincount(self.doc, minlength=self.n)
 
-    def word_hashes(self, fold: bool = False, most: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first ``most`` bytes; with ``fold``, of its letters, A-Z in lower case, digits and high bytes alone."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        sizes = self.end - self.start
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        byte = self.data[np.repeat(self.start, sizes) + place].astype(np.uint64) + np.uint64(1)
-        if fold:
-            kind = self.kind[np.repeat(self.start, sizes) + place]
-            byte = np.where(kind == 1, byte + np.uint64(32), byte) * ((kind < 3) | (kind == 7))
-        if most:
-            byte = byte * (place < most)
-        mixed = byte * _POWERS[place & 4095]
-        total = np.add.reduceat(mixed, np.cumsum(sizes) - sizes)
-        total ^= total >> np.uint64(29)
-        return total * np.uint64(0xBF58476D1CE4E5B9)
+    def _kept(self, lo: int, hi: int, fold: bool) -> np.ndarray:
+        """Which bytes of a stretch count: those of words; with ``fold``, letters, digits and high bytes, and all bytes of a word that has none of those."""
+        kind = self.kind[lo:hi]
+        inside = (kind != 3) & (kind != 4)
+        if not fold:
+            return inside
+        return ((kind < 3) | (kind == 7)) | (inside & self.bare[lo:hi])
+
+    @functools.cached_property
+    def bare(self) -> np.ndarray:
+        """Bytes of the words without a letter, digit or high byte."""
+        out = np.zeros(len(self.data), bool)
+        if len(self.start):
+            solid = np.add.reduceat((self.kind < 3) | (self.kind == 7), self.start, dtype=np.int64)
+            # A word's stretch ends where the next begins; what lies between is blank, and never counted.
+            lone = solid == 0
+            step = np.zeros(len(self.data) + 1, np.int8)
+            step[self.start[lone]] += 1
+            step[self.end[lone]] -= 1
+            out = np.cumsum(step[:-1], dtype=np.int8) > 0
+        return out
+
+    def word_hashes(self, fold: bool = False, begin: int = 0, family: int = 0) -> tuple[np.ndarray, ...]:
+        """A 64-bit hash of each word; with ``begin``, also one of its first so many bytes.
+
+        With ``fold`` a word is its letters, A-Z in lower case, digits and high bytes alone, and places
+        are counted among those; a word of other marks only is taken as it is. Each place has a
+        factor of its own, whatever the word's length. ``family`` picks independent factors.
+        Bytes are gone through in stretches, so memory follows ``STRETCH`` and the number of words.
+        """
+        sums = [np.zeros(len(self.start), np.uint64) for _ in range(2 if begin else 1)]
+        before = 0
+        base = np.zeros(len(self.start), np.int64)
+        for lo in range(0, len(self.data) if len(self.start) else 0, STRETCH):
+            hi = min(lo + STRETCH, len(self.data))
+            kept = self._kept(lo, hi, fold)
+            count = np.cumsum(kept)
+            first, last = np.searchsorted(self.start, (lo, hi))
+            base[first:last] = before + (count - kept)[self.start[first:last] - lo]
+            at = np.flatnonzero(kept)
+            if len(at):
+                word = np.searchsorted(self.start[first:last], at + lo, "right") + (first - 1)
+                place = before + count[at] - 1 - base[word]
+                byte = self.data[lo:hi][at].astype(np.uint64) + np.uint64(1)
+                if fold:
+                    byte += (self.kind[lo:hi][at] == 1).astype(np.uint64) * np.uint64(32)
+                mixed = byte * _factors(int(place.max()) + 1, family)[place]
+                parts = [(word, mixed)]
+                if begin:
+                    early = place < begin
+                    parts.append((word[early], mixed[early]))
+                for total, (owner, value) in zip(sums, parts, strict=True):
+                    if len(owner):
+                        edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                        total[owner[edge]] += np.add.reduceat(value, edge)
+            before += int(count[-1])
+        return tuple((t ^ (t >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) for t in sums)
+
+    def folded_texts(self) -> list[bytes]:
+        """Each text as its folded words, a blank between them."""
+        keep = self._kept(0, len(self.data), True)
+        keep[self.end] = True  # the blank after each word
+        lower = self.data + (self.kind == 1).astype(np.uint8) * np.uint8(32)
+        lower[self.end] = 32
+        size = np.add.reduceat(keep, self.begin, dtype=np.int64) if self.n else np.zeros(0, np.int64)
+        body, stop = lower[keep].tobytes(), np.cumsum(size)
+        return [body[e - n : e] for e, n in zip(stop.tolist(), size.tolist(), strict=True)]
+
+
+def _splitmix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_FACTORS: dict[int, np.ndarray] = {}
+
+
+def _factors(n: int, family: int) -> np.ndarray:
+    """Pseudo-random odd factors of the places 0 to ``n`` - 1 at least; those of usual words are remembered."""
+    known = _FACTORS.get(family)
+    if known is not None and len(known) >= n:
+        return known
+    size = max(4096, n)
+    made = _splitmix(np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(family * 0x632BE59BD9B4E019 % (1 << 64))) | np.uint64(1)
+    if size == 4096:
+        _FACTORS[family] = made
+    return made
 
 
 def dense(texts: Sequence[bytes], pairs: bool = True, flat: Flat | None = None) -> np.ndarray:
@@ -82,7 +155,7 @@ def dense(texts: Sequence[bytes], pairs: bool = True, flat: Flat | None = None)
     words = np.maximum(flat.n_words, 1)
     share = lambda flag: np.bincount(flat.doc, flag, minlength=flat.n) / words
     length = (flat.end - flat.start).astype(np.float64)
-    hashes = flat.word_hashes()
+    hashes = flat.word_hashes()[0]
     same = lambda d: np.concatenate((np.zeros(min(d, len(hashes))), ((hashes[d:] == hashes[:-d]) & (flat.doc[d:] == flat.doc[:-d])).astype(float)))
     last, first = flat.kind[flat.end - 1] if len(hashes) else flat.kind[:0], flat.kind[flat.start]
     columns = (share(length), share(length > 20), share(length == 1), share(last == 6), share((first == 6) & (length == 1)), share(same(1)), share(same(2)), share(last == 5), share(first == 1))
@@ -108,7 +181,8 @@ def dense(texts: Sequence[bytes], pairs: bool = True, flat: Flat | None = None)
 def hashed_words(texts: Sequence[bytes], bins: int, flat: Flat | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct folded words, and beginnings of words, of each text as bins: row of each entry, its bin, its weight (unit length per row)."""
     flat = flat or Flat(texts)
-    codes = [(flat.word_hashes(fold=True, most=n) * np.uint64(2 * n + 1) >> np.uint64(20)).astype(np.int64) % bins for n in (0, WORD_BEGIN)]
+    whole, start = flat.word_hashes(fold=True, begin=WORD_BEGIN)
+    codes = [(h * np.uint64(odd) >> np.uint64(20)).astype(np.int64) % bins for h, odd in ((whole, 1), (start, 2 * WORD_BEGIN + 1))]
     key = np.unique(np.concatenate([flat.doc * bins + c for c in codes]))
     row, column = key // bins, key % bins
     per = np.bincount(row, minlength=len(texts))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,14 +17,28 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a fresh local folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a fresh local folder serves a local master; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexiflow-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """``wanted``, with underscores before what a table already has as a column name."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it.
 
@@ -53,7 +68,11 @@ def stored_bytes(df: DataFrame) -> int:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the values of ``column`` in one slice come to about ``most`` bytes (one row at least), in at most ``rows`` rows."""
+    """Cut batches so that the values of ``column`` in one slice come to about ``most`` bytes (one row at least), in at most ``rows`` rows.
+
+    At the end of a task its free memory goes back to the system, as workers are used again and
+    idle ones would keep the most they ever needed.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -66,6 +85,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20,
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return unused memory of this process to the system, where the platform can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 class RowIds:

@@ -81,29 +81,96 @@ def test_fm_index_counts_absent_windows():
         assert counts.tolist() == want
 
 
-def test_near_dedup(spark, docs):
+def fold(word):
+    """Letters, digits and high characters of a word, A-Z in lower case; a word without any as it is."""
+    return "".join(c for c in word.translate({k: k + 32 for k in range(65, 91)}) if ord(c) > 127 or re.match("[0-9a-z]", c)) or word
+
+
+def runs(text):
+    words = [fold(w) for w in re.split("[ \t\n\r]+", text or "") if w]
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def alike(a, b):
+    """The larger of set and multiset Jaccard, from the words themselves."""
+    return max(len(a.keys() & b.keys()) / len(a.keys() | b.keys()), (a & b).total() / (a | b).total())
+
+
+def classes(rows, threshold=0.8):
+    sets = [runs(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and alike(sets[i], sets[j]) >= threshold:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("block", [8, 1000])
+def test_near_dedup(spark, docs, block):
     rng = np.random.default_rng(2)
     words = [f"w{k}" for k in range(400)]
     base = list(rng.choice(words, 200))
-    rows = [(0, " ".join(base)), (1, " ".join(base).upper()), (2, "! ".join(base))]
-    for k in range(3, 40):  # near the base, not all near each other
+    rows = [(0, " ".join(base)), (1, " ".join(base).upper()), (2, "! (".join(base)), (3, "-- ".join(base))]
+    for k in range(4, 40):  # near the base, not all near each other
         copy = list(base)
         for at in rng.choice(200, 4, replace=False):
             copy[at] = f"new{k}_{at}"
         rows.append((k, " ".join(copy)))
-    rows += [(k, " ".join(rng.choice(words, 150))) for k in range(40, 60)] + [(60, ""), (61, None), (62, "three words here"), (63, "three words here")]
-    got = {r.doc_id: r for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
-    found = near_dedup._elements([(t or "").encode() for _, t in rows])
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if rows[i][1] and rows[j][1] and near_dedup.similarity(found[i][1:], found[j][1:]) >= 0.8:
-                a, b = label[i], label[j]
-                label = [min(a, b) if x in (a, b) else x for x in label]
+    rows += [(k, " ".join(rng.choice(words, 150))) for k in range(40, 60)] + [(60, ""), (61, None), (62, "three words here"), (63, "three, words; (here)")]
+    long = "".join(rng.choice(list("abcdef"), 9000))
+    swapped = long[:100] + long[100 + 4096] + long[101 : 100 + 4096] + long[100] + long[101 + 4096 :]
+    block_of = " ".join(rng.choice(words, 90))
+    rows += [(64, long), (65, swapped if swapped != long else long + "x"), (66, block_of), (67, " ".join([block_of] * 6)), (68, "$ # !"), (69, "$ # !"), (70, "* # !"), (71, "a a a a a"), (72, "a a a a a a a")]
+    # Texts that share half of their words and are not alike, and pairs of them that are.
+    frame = list(rng.choice(words, 120))
+    for k in range(73, 113, 2):
+        body = [f"b{k}_{j}" for j in range(70)]
+        rows += [(k, " ".join(frame + body)), (k + 1, " ".join(frame + body[:-2] + ["end", "here"]))]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r.doc_id: r for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    label = classes(rows)
     assert [got[i].class_id for i in range(len(rows))] == label
     assert sum(r.kept for r in got.values()) == len(set(label))
+
+
+def test_near_dedup_on_odd_tables(spark, docs):
     assert near_dedup.near_dedup(empty(docs)).count() == 0
-    assert near_dedup.near_distinct(docs).columns == docs.columns
+    assert near_dedup.near_distinct(empty(docs)).count() == 0
+    clash = docs.withColumns({c: F.lit(7) for c in ("kept_id", "kept_rid", "row_hash", "n", "kept", "class_id", "label")})
+    got = near_dedup.near_distinct(clash)
+    assert got.columns == clash.columns and got.select("kept_id", "row_hash", "n").distinct().collect() == [(7, 7, 7)]
+    kept = near_dedup.near_dedup(docs).filter("kept").count()
+    assert got.count() == kept
+    unique = docs.filter("doc_id <> 5")
+    assert near_dedup.near_distinct(unique).count() == near_dedup.near_dedup(unique).filter("kept").count()
+
+
+def test_rare_runs_lose_no_pair(spark):
+    """With a bucket cut by rare runs, every two alike texts of it still meet."""
+    rng = np.random.default_rng(11)
+    ship(spark)
+    frame = [f"f{j}" for j in range(60)]
+    tails = [list(rng.choice([f"v{j}" for j in range(40)], 12)) for _ in range(20)]
+    texts = [" ".join(frame + t) for tail in tails for t in (tail, [*tail[:-2], "other", "end"])] + [" ".join(frame + frame)]
+    flat = near_dedup.Flat([t.encode() for t in texts])
+    found = near_dedup._elements(flat)
+    contents = spark.createDataFrame([(bytes([i]), bytearray(a.tobytes()), bytearray(b.tobytes())) for i, (a, b) in enumerate(found)], "node binary, once binary, more binary")
+    large = contents.select(F.lit(1).cast("long").alias("bucket"), "node", F.col("node").alias("label"), F.lit(True).alias("active"))
+    met = {}
+    for r in near_dedup._by_rare_runs(large, contents, 0.8).collect():
+        met.setdefault(r.bucket, set()).add(r.node[0])
+    pairs = {(i, j) for s in met.values() for i in s for j in s if i < j}
+    sets = [runs(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if alike(sets[i], sets[j]) >= 0.8}
+    assert want and want <= pairs and len(pairs) < len(texts) * (len(texts) - 1) / 2
+
+
+def test_heavy_elements_cost_little():
+    doc, element = np.array([0, 1]), np.array([5, 5], np.uint64)
+    s = near_dedup.dart_signatures(doc, element, np.array([1e9, 1e9]), 2, 50)
+    assert (s[0] == s[1]).all() and (s > 0).all()
 
 
 def test_darts_estimate_weighted_jaccard():
@@ -115,6 +182,9 @@ def test_darts_estimate_weighted_jaccard():
     s = near_dedup.dart_signatures(np.repeat([0, 1], 300), np.concatenate([a, b]), np.concatenate([w, w]), 2, 3000)
     want = w[:200].sum() / (2 * w.sum() - w[:200].sum())
     assert abs((s[0] == s[1]).mean() - want) < 0.04
+    wide = np.where(np.arange(300) % 7 == 0, w * 40, w)
+    s = near_dedup.dart_signatures(np.repeat([0, 1], 300), np.concatenate([a, a]), np.concatenate([w, wide]), 2, 3000)
+    assert abs((s[0] == s[1]).mean() - w.sum() / wide.sum()) < 0.04
 
 
 def test_pieces_match_the_library(docs):
