@@ -152,7 +152,7 @@ def test_rare_runs_lose_no_pair(spark):
     rng = np.random.default_rng(11)
     ship(spark)
     frame = [f"f{j}" for j in range(60)]
-    tails = [list(rng.choice([f"v{j}" for j in range(40)], 12)) for _ in range(20)]
+    tails = [list(rng.choice([f"v{j}" for j in range(40)], 20)) for _ in range(20)]
     texts = [" ".join(frame + t) for tail in tails for t in (tail, [*tail[:-2], "other", "end"])] + [" ".join(frame + frame)]
     flat = near_dedup.Flat([t.encode() for t in texts])
     found = near_dedup._elements(flat)
