@@ -172,7 +172,9 @@ def dense(texts: Sequence[bytes], pairs: bool = True, flat: Flat | None = None)
     if not pairs:
         return out
     pair = ((flat.data[:-1].astype(np.uint32) * 0x9E37 + flat.data[1:].astype(np.uint32) * 0x85EB) >> 6) & (PAIR_BINS - 1)
-    table = np.bincount(owner[:-1] * PAIR_BINS + pair, minlength=flat.n * PAIR_BINS).reshape(flat.n, PAIR_BINS)
+    own = np.ones(len(pair), bool)
+    own[(flat.begin + flat.lengths)[:-1]] = False  # the blank after a text and the next text's first byte
+    table = np.bincount(owner[:-1][own] * PAIR_BINS + pair[own], minlength=flat.n * PAIR_BINS).reshape(flat.n, PAIR_BINS)
     out[:, len(SURFACE) :] = table / size[:, None]
     out[flat.lengths == 0] = 0
     return out

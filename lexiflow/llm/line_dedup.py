@@ -11,14 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.store import materialize, stored_bytes
+from lexiflow.llm.store import free_names, materialize, stored_bytes
 
 #: A line on more than this share of its host's pages goes.
 RATIO = 0.05
-#: Hosts with fewer pages have no meaningful shares: their lines stay.
-MIN_PAGES = 20
+#: Boilerplate stands on so many pages at least, whatever the host's size: in a host of few pages a share alone says little.
+MIN_COPIES = 3
 #: The table of boilerplate lines is broadcast up to this many stored bytes, and joined by host beyond.
 BROADCAST_BYTES = 8 << 20
+#: Beyond a broadcast, the rows of a host are dealt over so many parts.
+SALTS = 32
 
 
 def lines(text: Column) -> Column:
@@ -29,37 +31,66 @@ def is_blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, key (SHA-256 of the line), n_pages, share for every line whose share of the host's pages exceeds ``ratio``.
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+
+
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_copies: int = MIN_COPIES) -> DataFrame:
+    """host, key (SHA-256 of the line), n_pages, share for every line on ``min_copies`` pages of the host or more whose share of its pages exceeds ``ratio``.
 
     A null host is a host of its own. Blank lines are never boilerplate. A page that repeats a
     line counts once. Lines are counted by SHA-256, so whole lines are not shuffled.
     """
-    host, text = F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).cast("string")
-    pages = docs.groupBy(host).agg(F.count("*").alias("total")).filter(F.col("total") >= min_pages)
+    host, text = _host(host_col).alias("host"), F.col(text_col).cast("string")
+    pages = docs.groupBy(host).agg(F.count("*").alias("total"))
     one = docs.filter(text.isNotNull()).select(host, F.explode(F.array_distinct(lines(text))).alias("line"))
     keyed = one.filter(~is_blank(F.col("line"))).select("host", F.unhex(F.sha2("line", 256)).alias("key"))
-    # A share above the ratio takes more pages than this in any host that counts, so rare lines need no total.
-    counts = keyed.groupBy("host", "key").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") > ratio * min_pages)
+    counts = keyed.groupBy("host", "key").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= min_copies)
     share = F.col("n_pages") / F.col("total")
     return counts.join(pages, "host").filter(share > ratio).select("host", "key", "n_pages", share.alias("share"))
 
 
-def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The input with its boilerplate lines taken out of ``text_col``, and n_lines, n_removed added.
+def _first_byte(key: Column) -> Column:
+    return F.conv(F.hex(F.substring(key, 1, 1)), 16, 10).cast("int")
 
-    All other columns, and rows, stay as they are; a null text stays null with no lines. A text of
-    boilerplate only becomes empty. Two columns of the input named n_lines or n_removed would be
-    replaced.
-    """
-    found = materialize(boilerplate(docs, host_col, text_col, ratio, min_pages).groupBy("host").agg(F.collect_list("key").alias("__keys")).withColumnRenamed("host", "__host"), "boilerplate")
+
+def _marked(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_copies: int, broadcast_bytes: int) -> tuple[DataFrame, Column, Column, list[str]]:
+    """``docs`` with its host's keys, the number of lines, the kept lines (null where nothing is to do), and the names of columns added."""
+    host_name, keys_name, kept_name, salt_name, part_name = free_names(docs.columns, "host_of_keys", "boilerplate_keys", "kept_lines", "salt", "part")
+    found = boilerplate(docs, host_col, text_col, ratio, min_copies).groupBy("host").agg(F.collect_list("key").alias("keys"))
+    found = materialize(found, "boilerplate")
+    # 256 lists by first byte, so a line is compared with few keys.
+    lists = F.transform(F.array("keys"), lambda all_: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.filter(all_, lambda k: _first_byte(k) == b)))[0]
     small = stored_bytes(found) <= broadcast_bytes
-    side = F.broadcast(found) if small else found
-    joined = docs.join(side, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("__host"), "left")
+    found = found.select(F.col("host").alias(host_name), lists.alias(keys_name))
+    if small:
+        joined = docs.join(F.broadcast(found), _host(host_col) == F.col(host_name), "left")
+    else:
+        side = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(part_name))
+        salted = docs.withColumn(salt_name, F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
+        joined = salted.join(side, (_host(host_col) == F.col(host_name)) & (F.col(salt_name) == F.col(part_name)), "left").drop(salt_name, part_name)
     text = F.col(text_col).cast("string")
-    kept = F.filter(lines(text), lambda x: is_blank(x) | ~F.array_contains("__keys", F.unhex(F.sha2(x, 256))))
+    known = lambda key: F.array_contains(F.element_at(F.col(keys_name), _first_byte(key) + 1), key)
+    hashed = F.transform(lines(text), lambda x: F.struct(x.alias("line"), F.when(~is_blank(x), F.unhex(F.sha2(x, 256))).alias("key")))
+    kept = F.transform(F.filter(hashed, lambda s: s["key"].isNull() | ~known(s["key"])), lambda s: s["line"])
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines(text))).cast("long")
-    has = F.col("__keys").isNotNull() & text.isNotNull()
-    out = joined.withColumn("n_lines", n_lines).withColumn("__kept", F.when(has, kept))
-    out = out.withColumn("n_removed", F.when(has, F.col("n_lines") - F.size("__kept")).otherwise(0).cast("long"))
-    return out.withColumn(text_col, F.when(has, F.array_join("__kept", "\n")).otherwise(text)).drop("__host", "__keys", "__kept")
+    has = F.col(keys_name).isNotNull() & text.isNotNull()
+    return joined.withColumn(kept_name, F.when(has, kept)), n_lines, F.col(kept_name), [host_name, keys_name, kept_name]
+
+
+def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_copies: int = MIN_COPIES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The input with its boilerplate lines taken out of ``text_col``, and n_lines, n_removed added.
+
+    All other columns, and rows, stay as they are; a null text stays null with no lines. A text of
+    boilerplate only becomes empty. Columns of the input named n_lines or n_removed are replaced;
+    :func:`without_boilerplate` adds none.
+    """
+    marked, n_lines, kept, added = _marked(docs, host_col, text_col, ratio, min_copies, broadcast_bytes)
+    out = marked.withColumns({"n_lines": n_lines, "n_removed": F.when(kept.isNull(), 0).otherwise(n_lines - F.size(kept)).cast("long")})
+    return out.withColumn(text_col, F.coalesce(F.array_join(kept, "\n"), F.col(text_col).cast("string"))).drop(*added)
+
+
+def without_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_copies: int = MIN_COPIES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """:func:`line_dedup` with the columns of the input alone."""
+    marked, _, kept, _ = _marked(docs, host_col, text_col, ratio, min_copies, broadcast_bytes)
+    return marked.withColumn(text_col, F.coalesce(F.array_join(kept, "\n"), F.col(text_col).cast("string"))).select(*docs.columns)

@@ -28,8 +28,10 @@ from lexiflow.llm.store import slices
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]*")
-#: Words remembered by a Python worker, with their ids, before it starts afresh; longer words are not remembered.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Bytes, by estimate, of the words that a Python worker remembers with their ids before it starts afresh; longer words are not remembered.
+CACHE_BYTES, CACHE_LENGTH = 32 << 20, 64
+#: What Python needs for an entry beside its characters.
+ENTRY_BYTES = 330
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes | float]]:
@@ -240,21 +242,26 @@ class Encoder:
     def __init__(self, model: PieceModel) -> None:
         self.model = model
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.held = 0
 
     def learn(self, words: set[str]) -> dict[str, tuple[str, int, str]]:
         """Ids (as text), their number and decoded text of every word; what is not known goes through the merge rounds."""
         known = self.known
         new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known = self.known = {}
-            new = list(words)
         if not new:
             return known
+        if self.held > CACHE_BYTES:
+            known = self.known = {}
+            self.held, new = 0, list(words)
         long: dict[str, tuple[str, int, str]] = {}
         for w, ids in zip(new, self.model.encode_words(new), strict=True):
             got = ids.tolist()
             entry = (",".join(map(str, got)), len(got), self._surface(got))
-            (known if len(w) <= CACHE_LENGTH else long)[w] = entry
+            if len(w) <= CACHE_LENGTH:
+                known[w] = entry
+                self.held += ENTRY_BYTES + 2 * len(w) + len(entry[0])
+            else:
+                long[w] = entry
         return {**known, **long} if long else known
 
     def _surface(self, ids: list[int]) -> str:
@@ -289,7 +296,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(proto)
         prefix = encoder.model.prefix
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             cut = [encoder.model.words(t or "") for t in batch.column("text").to_pylist()]
             known = encoder.learn(set().union(*cut))
             rows = []

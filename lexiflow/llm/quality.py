@@ -1,14 +1,16 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled good; the rest of the corpus is unlabelled, good and bad
-together. With the share of good documents (the class prior) known, the risk of a classifier on
+together. Given the share of good documents (the class prior), the risk of a classifier on
 bad documents is its risk on unlabelled ones, less the prior times its risk on positives as if
-they were bad. That difference cannot be negative; where the sample makes it so, the step goes the
+they were bad. The prior is estimated from unlabelled text: of the texts with the highest scores, where
+almost only good ones are left, the share among unlabelled ones over that among positives. That difference cannot be negative; where the sample makes it so, the step goes the
 other way, which keeps the fit from memorising positives.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,41 +72,70 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     return LinearModel(mean, scale, w, float(b), prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, splits: int = 5, delta: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, by the best bin of a classifier's scores on rows kept back from its fit.
+
+    With q(c) the share of rows that score c or more, the prior is at most q_unlabelled(c) / q_positive(c),
+    for every c; taken is the c whose upper confidence bound is least, and of its quotient the value a
+    standard error below. Of several splits the least counts: with a prior that is too large the risk
+    of bad text turns negative everywhere.
+    """
+    found = []
+    for seed in range(splits):
+        rng = np.random.default_rng(seed)
+        p, u = rng.random(len(positive)) < 0.7, rng.random(len(unlabelled)) < 0.7
+        if not p.any() or p.all() or not u.any() or u.all():
+            continue
+        model = fit_pu(positive[p], unlabelled[u], 0.5, steps=300)
+        good, mixed = np.sort(model.scores(positive[~p])), np.sort(model.scores(unlabelled[~u]))
+        share = lambda s: 1 - np.searchsorted(s, good, "left") / len(s)
+        q_good, q_mixed = share(good), share(mixed)
+        margin = sum(math.sqrt(math.log(4 / delta) / (2 * len(s))) for s in (good, mixed))
+        best = np.argmin((q_mixed + 1.01 * margin) / q_good)
+        error = lambda q, s: math.sqrt(q * (1 - q) / len(s))
+        found.append((q_mixed[best] - error(q_mixed[best], mixed)) / (q_good[best] + error(q_good[best], good)))
+    return float(min(0.99, max(0.01, min(found, default=0.5))))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 1 << 19):
         x = dense([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()])
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("positive"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "positive", "x"])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> LinearModel:
-    """Fit on rows whose id is not in the held-out fold (CRC-32 of the id as text, mod 5, is 0).
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Features of positives and of unlabelled documents, at most ``sample`` of either, in order of id.
 
-    The prior is the share of label 1 among labelled rows of the other folds. Positives are those
-    rows with label 1; unlabelled are documents without a label, in those folds too. At most
-    ``sample`` of either are used. An id with several labels counts as good if any of them is 1.
-    Without positives or unlabelled documents the model gives every text the prior.
+    Rows of the held-out fold (CRC-32 of the id as text, mod 5, is 0) are never among them. Positives
+    have label 1 (an id with several labels is good if any is 1); unlabelled are documents without a
+    label. An id with several texts counts with its least.
     """
     spark = docs.sparkSession
     key = labels[id_col].cast("long")
-    marked = labels.filter(key.isNotNull() & labels[label_col].isNotNull()).groupBy(key.alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("good"))
-    marked = marked.filter(F.crc32(F.col("id").cast("string")) % FOLDS != 0)
-    n, good = marked.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
-    prior = min(0.99, max(0.01, (good + 1) / (n + 2)))
-    first = lambda df: df.orderBy(F.xxhash64("id"), "id").limit(sample)
-    positives = [r.id for r in first(marked.filter("good = 1").select("id")).collect()]
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull() & (F.crc32(F.col("id").cast("string")) % FOLDS != 0)).distinct()
-    every = labels.select(key.alias("id")).filter("id IS NOT NULL").distinct()
-    others = [r.id for r in first(ids.join(every, "id", "left_anti")).collect()]
-    empty = LinearModel(np.zeros(DENSE, np.float32), np.ones(DENSE, np.float32), np.zeros(DENSE), float(np.log(prior / (1 - prior))), prior)
+    marked = labels.filter(key.isNotNull()).groupBy(key.alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("good"))
+    inside = F.crc32(F.col("id").cast("string")) % FOLDS != 0
+    first = lambda df: [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
+    positives = first(marked.filter(inside & (F.col("good") == 1)).select("id"))
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter(F.col("id").isNotNull() & inside).distinct()
+    others = first(ids.join(marked.select("id"), "id", "left_anti"))
     if not positives or not others:
-        return empty
-    chosen = spark.createDataFrame([(i, True) for i in positives] + [(i, False) for i in others], "id long, positive boolean")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("positive", "text")
-    rows = texts.mapInArrow(_features, "positive boolean, x binary").limit(4 * sample).collect()
-    x = {flag: np.array([np.frombuffer(r.x, np.float32) for r in rows if r.positive is flag]) for flag in (True, False)}
-    if not len(x[True]) or not len(x[False]):
-        return empty
-    return fit_pu(x[True], x[False], prior)
+        return np.zeros((0, DENSE), np.float32), np.zeros((0, DENSE), np.float32)
+    chosen = F.broadcast(spark.createDataFrame([(i, True) for i in positives] + [(i, False) for i in others], "id long, positive boolean"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").groupBy("id", "positive").agg(F.min("text").alias("text"))
+    rows = sorted(texts.mapInArrow(_features, "id long, positive boolean, x binary").collect(), key=lambda r: r.id)
+    good, rest = ([np.frombuffer(r.x, np.float32) for r in rows if r.positive is flag] for flag in (True, False))
+    return np.array(good).reshape(len(good), DENSE), np.array(rest).reshape(len(rest), DENSE)
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> LinearModel:
+    """Fit on the rows of :func:`training_rows`, with the prior that :func:`class_prior` finds in them.
+
+    Without positives or unlabelled documents the model gives every text one half.
+    """
+    positive, unlabelled = training_rows(docs, labels, id_col, text_col, label_col, sample)
+    if not len(positive) or not len(unlabelled):
+        return LinearModel(np.zeros(DENSE, np.float32), np.ones(DENSE, np.float32), np.zeros(DENSE), 0.0, 0.5)
+    return fit_pu(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def quality_scores(docs: DataFrame, model: LinearModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
@@ -115,7 +146,7 @@ def quality_scores(docs: DataFrame, model: LinearModel, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, 1 << 19):
             score = model.scores(dense([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(text_col).to_pylist()])).astype(np.float64)
             if keep:
                 yield batch.filter(pa.array(score >= threshold))

@@ -72,8 +72,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH n AS (
       SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
-    ), k AS (SELECT doc_id, sha256(t) AS text_sha256, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
-    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+    ), k AS (SELECT doc_id, sha256(t) AS text_sha256, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+      row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) AS place FROM n)
+    SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k
     """,
 )
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +90,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op6_line_dedup",
     """
     WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS ls FROM documents),
-    pages AS (SELECT host, count(*) AS total FROM d GROUP BY host HAVING count(*) >= 20),
+    pages AS (SELECT host, count(*) AS total FROM d GROUP BY host),
     one AS (SELECT host, unnest(list_distinct(ls)) AS line FROM d WHERE text IS NOT NULL),
     bad AS (
-      SELECT host, line FROM (SELECT host, line, count(*) AS n FROM one WHERE trim(line) <> '' GROUP BY host, line) JOIN pages USING (host) WHERE n / total > 0.05
+      SELECT host, line FROM (SELECT host, line, count(*) AS n FROM one WHERE trim(line) <> '' GROUP BY host, line) JOIN pages USING (host) WHERE n >= 3 AND n / total > 0.05
     ),
     per AS (SELECT host, list(line) AS bad FROM bad GROUP BY host),
     k AS (

@@ -3,7 +3,8 @@
 Three patterns give the base spans. On top of them, candidate strings are judged by the Shannon
 entropy of a window that slides over their characters: per character class (hex digits, or letters
 and digits mixed) there is a threshold in bits. The counts of the window's characters are carried
-along, one in and one out per step, so a step costs the same whatever the window's length.
+along, packed by twelve into 64-bit numbers; a step changes the count of the character that enters
+and of the one that leaves, so it costs the same whatever the window's length.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
+#: Bits of a packed count, counts in a 64-bit number; matches of a chunk.
+BITS, PER_LONG, CHUNK = 5, 12, 128
 HEX_BITS, MIXED_BITS = 3.0, 3.6
 MIN_ASSIGN = 12
 
@@ -38,12 +41,15 @@ def _none() -> Column:
 
 
 def _spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """Every match in order with its place in code points: what stands between matches is counted up."""
+    """Every match in order with its place in code points: what stands between matches is counted up.
+
+    Matches are gone through in chunks, so that appending to the result does not copy all of it each time.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
     rows = F.arrays_zip(found.alias("m"), value.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+    chunks = F.transform(F.array(rows), lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r), F.lit(1)), F.lit(CHUNK)), lambda k: F.slice(r, k, CHUNK)))[0]
 
     def step(acc: Column, row: Column) -> Column:
         begin = acc["at"] + F.length(row["g"])
@@ -51,34 +57,56 @@ def _spans(text: Column, pattern: str, group: int = 0) -> Column:
         one = F.struct(begin.alias("start"), end.alias("end"), row["m"].alias("text"), row["v"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    def chunk(acc: Column, part: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), _none().alias("out"))
+        return F.aggregate(part, begin, step, lambda got: F.struct(got["at"].alias("at"), F.concat(acc["out"], F.array(got["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_SPANS}>)").alias("out"))
+    return F.aggregate(chunks, start, chunk, lambda acc: F.flatten(acc["out"]))
 
 
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The highest entropy, in bits, of ``window`` consecutive characters of a string over ``ALPHABET`` (of all, if shorter)."""
-    weight = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(window + 1)])
-    n = F.length(text)
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(text, i, F.lit(1)))
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-
-    def step(acc: Column, i: Column) -> Column:
-        put = at(i)
-        out = F.when(i > window, at(i - window)).otherwise(F.lit(-1))
-        same = put == out
-        more = F.element_at(acc["counts"], put + 1)
-        less = F.when(i > window, F.element_at(acc["counts"], F.greatest(out, F.lit(0)) + 1)).otherwise(F.lit(0))
-        change = F.when(same, F.lit(0.0)).otherwise(
-            F.element_at(weight, F.least(more + 2, F.lit(window + 1)))
-            - F.element_at(weight, more + 1)
-            + F.when(less > 0, F.element_at(weight, less) - F.element_at(weight, less + 1)).otherwise(F.lit(0.0))
+    """The highest entropy, in bits, of ``window`` consecutive characters of a string over ``ALPHABET`` (of all, if shorter).
+
+    A character outside of the alphabet counts as one more character of it, the same for all of them.
+    """
+    if not 2 <= window < 1 << BITS:
+        raise ValueError(f"a window has 2 to {(1 << BITS) - 1} characters")
+    weight = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(window + 2)])
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    leaving = F.concat(F.array_repeat(F.lit(-1), window), codes)
+    rows = F.arrays_zip(codes.alias("put"), F.slice(leaving, 1, F.size(codes)).alias("out"))
+    packs = range(len(ALPHABET) // PER_LONG + 1)
+
+    def count(acc: Column, code: Column) -> Column:
+        """The count of a character in the packed numbers."""
+        which = F.when(code < PER_LONG, acc["c0"])
+        for k in list(packs)[1:]:
+            which = which.when(code < (k + 1) * PER_LONG, acc[f"c{k}"])
+        return F.call_function("shiftright", which, code % PER_LONG * BITS).bitwiseAND((1 << BITS) - 1).cast("int")
+
+    def unit(code: Column, k: int) -> Column:
+        """What one character more adds to the packed number ``k``."""
+        return F.when((code >= k * PER_LONG) & (code < (k + 1) * PER_LONG), F.call_function("shiftleft", F.lit(1).cast("long"), code % PER_LONG * BITS)).otherwise(F.lit(0).cast("long"))
+
+    def step(acc: Column, row: Column) -> Column:
+        put, out = row["put"], row["out"]
+        more, less = count(acc, put), count(acc, out)
+        change = (
+            F.when(put == out, 0.0)
+            .when(out < 0, F.get(weight, more + 1) - F.get(weight, more))
+            .otherwise(F.get(weight, more + 1) - F.get(weight, more) + F.get(weight, less - 1) - F.get(weight, less))
         )
         total = acc["sum"] + change
-        counts = F.transform(acc["counts"], lambda c, j: c + F.when(j == put, 1).otherwise(0) - F.when(j == out, 1).otherwise(0))
-        size = F.least(i, F.lit(window)).cast("double")
-        bits = F.when(i >= F.least(F.lit(window), n), F.log2(size) - total / size).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
+        size = F.least(acc["i"] + 1, F.lit(window)).cast("double")
+        full = acc["i"] + 1 >= acc["need"]
+        bits = F.when(full, F.log2(size) - total / size).otherwise(0.0)
+        packed = [(acc[f"c{k}"] + unit(put, k) - F.when(out < 0, F.lit(0).cast("long")).otherwise(unit(out, k))).alias(f"c{k}") for k in packs]
+        return F.struct(*packed, (acc["i"] + 1).alias("i"), acc["need"].alias("need"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: acc["best"])).otherwise(F.lit(0.0))
+    n = F.length(text)
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in packs], F.lit(0).alias("i"), F.least(F.lit(window), n).alias("need"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    return F.when(n > 0, F.aggregate(rows, zero, step, lambda acc: acc["best"])).otherwise(F.lit(0.0))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS) -> DataFrame:
@@ -105,7 +133,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), s["end"].alias("end"), s["text"].alias("text"), F.lit(None).cast("double").alias("bits")))
 
     base = F.array_sort(F.concat(kind(F.filter("a", lambda s: F.length(s["value"]) >= MIN_ASSIGN), 0), kind(F.col("k"), 1), kind(F.col("h"), 2)))
-    based = raw.select("id", base.alias("base"), "c")
+    assigned = F.transform(F.filter("a", lambda s: F.length(s["value"]) >= MIN_ASSIGN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    based = raw.select("id", base.alias("base"), assigned.alias("assigned"), "c")
 
     def is_hex(s: Column) -> Column:
         return s["text"].rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
@@ -113,7 +142,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def candidate(s: Column) -> Column:
         shape = s["text"].rlike(r"[0-9]") & s["text"].rlike(r"[A-Za-z]")
         allowed = s["text"].rlike(ALLOW) | s["text"].rlike(ALLOW_UUID)
-        return shape & ~allowed & ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
+        # A candidate is a whole run, so hex and access spans cover it exactly if its own text says so.
+        plain = s["text"].rlike(r"^(?:[0-9a-f]+|AKIA[A-Z0-9]{14,})$")
+        return shape & ~allowed & ~plain & ~F.exists("assigned", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
 
     def scored(s: Column) -> Column:
         rank = F.when(is_hex(s), 3).otherwise(4)

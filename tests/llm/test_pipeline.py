@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexiflow.llm.queries import QUERIES
 
@@ -17,3 +20,42 @@ def test_stages_keep_the_columns_and_take_effect(spark, sf):
 
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+
+
+@pytest.fixture
+def odd(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows, and columns named as the stages name theirs."""
+    site = "shared head\n"
+    rows = [(i, f"{site}the words of page {i} go on in number {i * i} and on to the end of it all {i % 7}.", "en", f"s{i % 2}", 60) for i in range(60)]
+    rows += [(60, None, None, None, None), (61, "", "en", "s0", 0), (None, "no id at all in this row here", "en", "s1", 5), (62, "long " * 40_000, "en", "s0", 200_000), (62, "long " * 40_000, "en", "s0", 200_000), (63, rows[5][1], "en", "s1", 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("n_lines", "n_removed", "row_hash", "p0", "copy", "kept_id", "kept_lines", "rate", "node", "rid", "id")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)] + [(60, 0, 0), (61, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int")
+    docs.withColumns({c: F.lit(4) for c in names}).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_on_an_odd_table(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, odd)
+        assert out.columns == columns and out.filter("node <> 4 OR n_lines <> 4").isEmpty()
+        nothing = stage(spark, docs.filter("doc_id > 1000"), odd)
+        assert nothing.columns == columns and nothing.count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, odd)
+    assert last.count() == docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.filter("doc_id > 1000"), odd).count() == 0
+    lines = corpus_pipeline.drop_lines(spark, docs, odd)
+    assert lines.filter("text LIKE 'shared head%'").isEmpty() and lines.count() == docs.count()
+    assert corpus_pipeline.run(spark, odd).count() > 30
+
+
+def test_mixing_keeps_good_text(spark, sf):
+    path = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    good = spark.read.parquet(f"{path}/labels.parquet").filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    out = corpus_pipeline.mix_domains(spark, docs, path)
+    kept = good.join(docs, "doc_id", "left_semi").join(out, "doc_id", "left_semi").count()
+    assert kept >= 0.97 * good.join(docs, "doc_id", "left_semi").count()
