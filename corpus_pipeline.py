@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.line_dedup import line_dedup
+from lexiflow.llm.line_dedup import without_boilerplate
 from lexiflow.llm.mixing import mixed_documents
 from lexiflow.llm.near_dedup import near_distinct
 from lexiflow.llm.pieces import encode_documents
@@ -27,8 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that too many pages of a source share go; documents stay."""
-    out = line_dedup(docs).drop("n_lines", "n_removed")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return without_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
