@@ -34,7 +34,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: 24 bands of 5: a pair at 0.8 is missed once in ten thousand.
 BANDS, ROWS = 24, 5
-#: Nodes of a bucket that meet within one task; a larger bucket is cut by rare runs, and then into blocks.
+#: Nodes of a bucket that meet as many others within one task; a bucket with more that its hub does not explain is cut by rare runs.
 BLOCK = 1000
 #: Nodes whose rows or labels are looked up by a broadcast of their keys (8 to 32 bytes each); a join beyond.
 BROADCAST_NODES = 200_000
@@ -311,9 +311,9 @@ def near_links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD,
     ``docs`` has rid and text; ``nodes`` has node, bands and the rid of one of its rows. First the
     hub of every bucket, its node with the most company in all its buckets, is compared with the
     others. What is then not of the hub's class is active, and meets the bucket's nodes of other
-    classes. A bucket of up to ``block`` nodes does so in one task. In a larger one only nodes meet
-    that share one of their rare runs, which all alike pairs do, so none is lost; should more than
-    ``block`` nodes share a run, they are cut into blocks of ``block`` against ``block``.
+    classes, in parts of at most ``block`` against ``block`` nodes. With up to ``block`` active nodes
+    that costs rows in proportion to the bucket. With more, only nodes meet that share one of their
+    rare runs, which all alike pairs do, so none is lost.
     """
     spark = docs.sparkSession
     pairs = nodes.select(F.explode("bands").alias("bucket"), "node")
@@ -342,11 +342,11 @@ def near_links(docs: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD,
     left = rest.groupBy("bucket").agg(F.count_if("active").alias("n_active"), F.count("*").alias("size"), *digest).filter("n_active > 0")
     # Buckets with the same nodes (by two sums of 64-bit hashes) are searched once.
     once = left.groupBy("set0", "set1", "size", "n_active").agg(F.min("bucket").alias("bucket"))
-    rest = materialize(rest.join(once.select("bucket"), "bucket").select("bucket", "node", "label", "active", "size"), "rest")
+    rest = materialize(rest.join(once.select("bucket", "n_active"), "bucket").select("bucket", "node", "label", "active", "n_active"), "rest")
     if rest.isEmpty():
         return links
-    large = rest.filter(F.col("size") > block)
-    rest = rest.filter(F.col("size") <= block).drop("size")
+    large = rest.filter(F.col("n_active") > block)
+    rest = rest.filter(F.col("n_active") <= block).drop("n_active")
     if not large.isEmpty():
         rest = materialize(rest.unionByName(_by_rare_runs(large, contents, threshold)), "rare")
     counts = rest.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("active").alias("n_active"), F.count_distinct("label").alias("n_labels"))
