@@ -15,6 +15,10 @@ from lexiflow.llm.store import materialize
 from lexiflow.session import ship
 
 
+#: Aims after the quality stage, which leaves next to no poor text: a larger share could only come from many copies of what is left.
+MIX_TARGETS = {"good": 0.9945, "poor": 0.0005, "toxic": 0.005}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -37,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out, so that domains come to their target shares of tokens."""
-    return mixed_documents(docs, _table(spark, sf_dir, "labels"))
+    return mixed_documents(docs, _table(spark, sf_dir, "labels"), MIX_TARGETS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
