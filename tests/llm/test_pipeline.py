@@ -56,6 +56,8 @@ def test_mixing_keeps_good_text(spark, sf):
     path = sf.replace("sf0.001", "sf0.01")
     docs = spark.read.parquet(f"{path}/documents.parquet")
     good = spark.read.parquet(f"{path}/labels.parquet").filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    out = corpus_pipeline.mix_domains(spark, docs, path)
+    docs = corpus_pipeline.keep_quality(spark, docs, path).cache()
+    out = corpus_pipeline.mix_domains(spark, docs, path).cache()
+    assert 0.8 * docs.count() < out.count() < 1.2 * docs.count()
     kept = good.join(docs, "doc_id", "left_semi").join(out, "doc_id", "left_semi").count()
     assert kept >= 0.97 * good.join(docs, "doc_id", "left_semi").count()
