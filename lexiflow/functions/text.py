@@ -126,7 +126,7 @@ def is_truncated(hyp: Column, ref: Column) -> Column:
 def proper_nouns(source: Column) -> Column:
     """Capitalised words, the first one aside."""
     w = space_words(source)
-    return F.filter(F.when(F.size(w) > 1, F.slice(w, 2, 1 << 20)).otherwise(F.array().cast("array<string>")), lambda x: x.rlike(r"^[A-ZÀ-Ý][\p{L}\p{N}_'-]*$"))
+    return F.filter(F.when(F.size(w) > 1, F.slice(w, F.lit(2), F.size(w) - 1)).otherwise(F.array().cast("array<string>")), lambda x: x.rlike(r"^[A-ZÀ-Ý][\p{L}\p{N}_'-]*$"))
 
 
 def proper_noun_copy_accuracy(source: Column, hyp: Column) -> Column:

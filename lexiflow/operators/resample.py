@@ -2,28 +2,98 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from lexiflow.functions.formulas import hash_number
 from lexiflow.operators import metrics, stats
 
 
-def resample_weights(df: DataFrame, id_col: str, reps: int, seed: str) -> DataFrame:
-    """rep and ``times`` a row is drawn in it: a Poisson draw of mean one by a hash of seed, id and rep.
+#: A draw is at most this: the chance of more is below 2^-60, the grain of the hash.
+MOST_DRAWN = 18
+
+
+def poisson_steps() -> list[float]:
+    """Chances that a Poisson number of mean one is at most 0, 1, 2, ..."""
+    chance, total, out = math.exp(-1), 0.0, []
+    for k in range(MOST_DRAWN):
+        total += chance
+        out.append(total)
+        chance /= k + 1
+    return out
 
-    Rows are drawn where they stand, without positions or a count of rows, so no shuffle comes
-    before the sums. ``times`` is below 5 (the draw is cut where the tail is below 0.4 percent).
-    """
-    u = hash_number(seed, F.col(id_col), F.col("rep")) / F.lit(float(1 << 60))
-    times = F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).otherwise(4)
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("times", times.cast("long")).filter("times > 0")
+
+def poisson_sql(u: str) -> str:
+    """The draw of a uniform number, as SQL."""
+    return "CASE " + " ".join(f"WHEN {u} < {x!r} THEN {k}" for k, x in enumerate(poisson_steps())) + f" ELSE {MOST_DRAWN} END"
 
 
 def resampled_sums(df: DataFrame, id_col: str, columns: list[str], reps: int, seed: str, keys: list[str] | None = None) -> DataFrame:
-    """keys, rep, n and the drawn sum of each column; strata are resampled alike by putting them among the keys."""
-    drawn = resample_weights(df, id_col, reps, seed)
-    return drawn.groupBy(*(keys or []), "rep").agg(F.sum("times").alias("n"), *(F.sum(F.col("times") * F.col(c)).alias(c) for c in columns))
+    """keys, rep, n and the drawn sum of each column; strata are resampled alike by putting them among the keys.
+
+    A row is drawn a Poisson number of times, of mean one, by an MD5 hash of seed, id and rep: the
+    same in any engine and for any partitioning. Rows are drawn where they stand, and a task adds up
+    its own before anything is shuffled: ``reps`` rows for each key and task.
+    """
+    keys = keys or []
+    names = [f"k{j}" for j in range(len(keys))]
+    values = [f"v{j}" for j in range(len(columns))]
+    source = df.select(F.col(id_col).cast("string").alias("id"), *(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(v) for c, v in zip(columns, values, strict=True)))
+    fields = source.schema.fields[1 : 1 + len(keys)]
+    schema = StructType([*fields, StructField("rep", IntegerType()), StructField("n", DoubleType()), *(StructField(v, DoubleType()) for v in values)])
+    sums = source.mapInArrow(_drawn_sums(names, values, reps, seed), schema).groupBy(*names, "rep").agg(F.sum("n").cast("long").alias("n"), *(F.sum(v).alias(v) for v in values))
+    back = dict(zip((*names, *values), (*keys, *columns), strict=True))
+    return sums.filter("n > 0").withColumnsRenamed(back)
+
+
+def _drawn_sums(names: list[str], values: list[str], reps: int, seed: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.array(poisson_steps())
+        suffix = [f":{r}".encode() for r in range(reps)]
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, total in held.items():
+                columns = [pa.array([k] * reps, t) for k, t in zip(key, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(reps, dtype=np.int32)), *(pa.array(c) for c in total.T)], [*names, "rep", "n", *values])
+            held.clear()
+
+        for batch in batches:
+            kinds = [batch.schema.field(n).type for n in names]
+            keyed = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True)) if names else [()] * batch.num_rows
+            x = np.column_stack([np.ones(batch.num_rows), *(batch.column(v).to_numpy(zero_copy_only=False) for v in values)])
+            ids = batch.column("id").to_pylist()
+            for key in dict.fromkeys(keyed):
+                mine = [j for j, k in enumerate(keyed) if k == key] if names else list(range(batch.num_rows))
+                for a in range(0, len(mine), 64):
+                    part = mine[a : a + 64]
+                    # The first 15 hex digits of each digest, as a number.
+                    raw = b"".join(_digests(seed, ids[j], suffix) for j in part)
+                    number = np.frombuffer(raw, ">u8").reshape(len(part), reps, 2)[:, :, 0] >> np.uint64(4)
+                    times = np.searchsorted(steps, number.astype(np.float64) * 2.0**-60, "right")
+                    held[key] = held.get(key, 0) + times.T @ x[part]
+                if len(held) > 500:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _digests(seed: str, row: str | None, suffix: list[bytes]) -> bytes:
+    """MD5 of ``seed:row:rep`` for every rep (a null row is left out, as by concat_ws)."""
+    head = hashlib.md5((seed if row is None else f"{seed}:{row}").encode())
+    out = []
+    for s in suffix:
+        h = head.copy()
+        h.update(s)
+        out.append(h.digest())
+    return b"".join(out)
 
 
 def interval(samples: DataFrame, value: str, reps: int, keys: list[str] | None = None) -> DataFrame:

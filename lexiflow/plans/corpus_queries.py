@@ -19,11 +19,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "src"))
     w = Window.partitionBy("doc_id").orderBy("pos")
-    return each.select((F.col("doc_id") * 100000 + F.col("pos")).alias("ord"), "src", F.coalesce(F.lead("src").over(w), F.lit("")).alias("tgt"))
+    return each.select((F.col("doc_id") * F.lit(1 << 31) + F.col("pos")).alias("ord"), "src", F.coalesce(F.lead("src").over(w), F.lit("")).alias("tgt"))
 
 
 LINES_SQL = """lines AS (
-  SELECT doc_id * 100000 + pos AS ord, src, coalesce(lead(src) OVER (PARTITION BY doc_id ORDER BY pos), '') AS tgt FROM (
+  SELECT doc_id * 2147483648 + pos AS ord, src, coalesce(lead(src) OVER (PARTITION BY doc_id ORDER BY pos), '') AS tgt FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS src, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents))"""
 INDEX_SQL = f"""protected AS (SELECT 's' || (item_id % 3) AS set, unnest(string_split(text, chr(10))) AS text FROM benchmark),
 idx AS (SELECT DISTINCT set, 'exact' AS kind, text AS value, text AS target FROM protected UNION SELECT DISTINCT set, 'key', {_KEY_SQL.format('text')}, text FROM protected WHERE {_KEY_SQL.format('text')} IS NOT NULL),

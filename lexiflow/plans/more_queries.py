@@ -47,7 +47,7 @@ def g57(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DRAWN = """WITH v AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS x, CASE WHEN doc_id % 3 = 0 THEN CAST(length(text) AS DOUBLE) END AS y FROM documents),
 u AS (SELECT rep, x, y, CAST('0x' || substr(md5('o:' || doc_id || ':' || rep), 1, 15) AS BIGINT) / 1152921504606846976.0 AS u FROM v, (SELECT unnest(range(100)) AS rep)),
-w AS (SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 ELSE 4 END AS t FROM u),
+w AS (SELECT *, """ + resample.poisson_sql("u") + """ AS t FROM u),
 s AS (SELECT rep, 0.8 * sum(t * x) / sum(t) + 0.2 * coalesce(sum(t * y) / sum(t) FILTER (y IS NOT NULL), sum(t * x) / sum(t)) AS o FROM w GROUP BY rep), r AS (SELECT o, row_number() OVER (ORDER BY o, rep) AS n FROM s)"""
 
 

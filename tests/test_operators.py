@@ -254,3 +254,19 @@ def test_chunk_cache_scores_only_what_is_new(spark, tmp_path):
     chunk_cache.score_missing(rows("a"), "ord", ["t"], path, 4, score)
     second = chunk_cache.score_missing(rows("bb"), "ord", ["t"], path, 4, score)
     assert calls == [10, 2] and {r.ord: r.score for r in second.collect()}[9] == 2.0
+
+
+def test_chunk_cache_recovers_from_bad_scores(spark, tmp_path):
+    """A retry with good scores gives all rows, and rows without one have null until then."""
+    path = f"file://{tmp_path}/bad"
+    rows = spark.range(6).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("t"))
+    bad = lambda df: df.withColumn("score", F.when(F.col("ord") == 1, float("nan")).otherwise(1.0))
+    short = lambda df: df.filter("ord <> 4").withColumn("score", F.lit(2.0))
+    first = {r.ord: r.score for r in chunk_cache.score_missing(rows, "ord", ["t"], path, 3, bad).collect()}
+    assert first == {0: None, 1: None, 2: None, 3: 1.0, 4: 1.0, 5: 1.0}
+    good = lambda df: df.withColumn("score", F.lit(3.0))
+    second = {r.ord: r.score for r in chunk_cache.score_missing(rows, "ord", ["t"], path, 3, good).collect()}
+    assert second == {0: 3.0, 1: 3.0, 2: 3.0, 3: 1.0, 4: 1.0, 5: 1.0}
+    other = path + "-short"
+    third = {r.ord: r.score for r in chunk_cache.score_missing(rows, "ord", ["t"], other, 3, short).collect()}
+    assert third == {0: 2.0, 1: 2.0, 2: 2.0, 3: None, 4: None, 5: None}
