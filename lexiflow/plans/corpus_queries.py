@@ -57,15 +57,46 @@ def p01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.tag_steps(pairs(spark, sf_dir)).select("ord", "step")
 
 
+#: Pairs held out by the cascade.
+HELD = 20
+
+
+def _hit_sql(rows: str, index: str) -> str:
+    """Ids of the rows that match an index on either side, by exact text or key."""
+    return " UNION ".join(f"SELECT ord FROM {rows} JOIN {index} i ON i.kind = '{kind}' AND i.value = {value}" for side in ("src", "tgt") for kind, value in (("exact", side), ("key", _KEY_SQL.format(side))))
+
+
+_CASCADE_SQL = (
+    _STEPS_SQL
+    + ", "
+    + INDEX_SQL.split(",\nprobes")[0]
+    + f""", alive AS (SELECT p.ord, src, tgt FROM pairs p JOIN t USING (ord) WHERE step IS NULL), g AS ({_hit_sql("alive", "idx")}),
+    clear AS (SELECT * FROM alive WHERE ord NOT IN (SELECT ord FROM g)), held AS (SELECT * FROM clear ORDER BY md5('h:' || ord), ord LIMIT {HELD}),
+    texts AS (SELECT src AS text FROM held UNION ALL SELECT tgt FROM held),
+    hidx AS (SELECT 'exact' AS kind, text AS value FROM texts UNION SELECT 'key', {_KEY_SQL.format("text")} FROM texts WHERE {_KEY_SQL.format("text")} IS NOT NULL), m AS ({_hit_sql("clear", "hidx")}),
+    c AS (SELECT ord, coalesce(step, CASE WHEN ord IN (SELECT ord FROM g) THEN 'guard' WHEN ord IN (SELECT ord FROM held) THEN 'holdout' WHEN ord IN (SELECT ord FROM m) THEN 'holdout_match' END) AS step FROM t)"""
+)
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps over the pairs, guarded against the benchmark."""
+    return clean.cascade(pairs(spark, sf_dir), index(spark, sf_dir), HELD, "h")
+
+
+@query("p06_j09_cascade", _CASCADE_SQL + " SELECT ord, step FROM c")
+def p06_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir).select("ord", "step")
+
+
 @query(
     "p06_filter_table",
-    _STEPS_SQL
+    _CASCADE_SQL
     + """, s AS (SELECT * FROM (VALUES (0, 'empty'), (1, 'duplicate'), (2, 'equal'), (3, 'ratio'), (4, 'non_letter'), (5, 'guard'), (6, 'holdout'), (7, 'holdout_match')) v(place, step)),
-    c AS (SELECT place, s.step, (SELECT count(*) FROM t WHERE t.step = s.step) AS removed FROM s)
-    SELECT step, removed, (SELECT count(*) FROM t) - CAST(sum(removed) OVER (ORDER BY place) AS BIGINT) AS remaining FROM c""",
+    k AS (SELECT place, s.step, (SELECT count(*) FROM c WHERE c.step = s.step) AS removed FROM s)
+    SELECT step, removed, (SELECT count(*) FROM c) - CAST(sum(removed) OVER (ORDER BY place) AS BIGINT) AS remaining FROM k""",
 )
 def p06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.filter_table(clean.tag_steps(pairs(spark, sf_dir)))
+    return clean.filter_table(_cascade(spark, sf_dir))
 
 
 @query("p07_p08_prefix", f"WITH {EVAL_SQL} SELECT doc_id, slice FROM evals WHERE split = 'e1' AND doc_id < 300")

@@ -270,3 +270,26 @@ def test_chunk_cache_recovers_from_bad_scores(spark, tmp_path):
     other = path + "-short"
     third = {r.ord: r.score for r in chunk_cache.score_missing(rows, "ord", ["t"], other, 3, short).collect()}
     assert third == {0: 2.0, 1: 2.0, 2: 2.0, 3: None, 4: None, 5: None}
+
+
+def test_cascade_runs_every_step(spark, tmp_path):
+    """A guarded pair, held-out pairs and those that match them, counted apart; and nothing protected is in what is written."""
+    rows = [(1, "", "x"), (2, "one two", "un deux"), (3, "one two", "un deux"), (4, "same", "same"), (5, "a", "a long side of many words"), (6, "1234!!", "5678??"), (7, "Protected line", "ligne"), (8, "other", "protected  LINE"), (9, "last words", "mots")]
+    rows += [(10, "One Two", "autre texte"), (11, "plain text", "texte")]
+    df = spark.createDataFrame(rows, "ord long, src string, tgt string")
+    index = guard.match_index(spark.createDataFrame([("dev", "protected line")], "set string, text string"))
+    for held in (1, 2, 4):
+        got = {r.ord: r.step for r in clean.cascade(df, index, held, "h").collect()}
+        assert [got[k] for k in range(1, 9)][:1] == ["empty"] and got[3] == "duplicate" and got[4] == "equal" and got[5] == "ratio" and got[6] == "non_letter"
+        assert got[7] == got[8] == "guard"
+        assert sum(v == "holdout" for v in got.values()) == held
+        # Rows 2 and 10 have one key on the left: when one is held, the other goes or is held too.
+        if "holdout" in (got[2], got[10]):
+            assert {got[2], got[10]} <= {"holdout", "holdout_match"}
+    table = {r.step: (r.removed, r.remaining) for r in clean.filter_table(clean.cascade(df, index, 4, "h")).collect()}
+    assert table["guard"] == (2, 4) and table["holdout"] == (4, 0) and sum(v[0] for v in table.values()) == 11
+    kept = clean.cascade(df, index, 1, "h").filter("step IS NULL")
+    kept.write.parquet(f"{tmp_path}/kept")
+    assert [tuple(r) for r in clean.reread_matches(spark, f"{tmp_path}/kept", index, ["src", "tgt"]).collect()] == [("dev", 0)]
+    df.write.parquet(f"{tmp_path}/all")
+    assert [tuple(r) for r in clean.reread_matches(spark, f"{tmp_path}/all", index, ["src", "tgt"]).collect()] == [("dev", 2)]
