@@ -53,6 +53,13 @@ def hash_number(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def row_seed(seed: int, key: Column, j: int | Column) -> Column:
+    """63 bits of SHA-256 of ``seed|j|key``: its first eight bytes, the least significant first, without the top bit."""
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), (F.lit(j) if isinstance(j, int) else j).cast("string"), key.cast("string")), 256)
+    turned = F.concat(*(F.substring(digest, at, 2) for at in range(15, 0, -2)))
+    return F.conv(turned, 16, -10).cast("long").bitwiseAND((1 << 63) - 1)
+
+
 def hash_rank(seed: str, *parts: Column) -> Column:
     """A string to order by: a seeded shuffle that every engine repeats."""
     return F.md5(F.concat_ws(":", F.lit(seed), *(p.cast("string") for p in parts)))

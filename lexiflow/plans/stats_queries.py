@@ -276,6 +276,34 @@ def b04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(resample.paired(sums.select("split", "rep", metrics.bleu("b_").alias("b"), metrics.bleu().alias("a")), "b", "a", DRAWS, ["split"]), "low", "high", "p")
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    """Each row once for its whole set, its slice, its word bucket, and the long rows if it is one."""
+    n = F.size(F.split("ref", " "))
+    kinds = [("all", F.lit("all")), ("slice", F.col("slice")), ("bucket", T.length_bucket(n)), ("long", F.when(n > 80, "long"))]
+    parts = F.array(*(F.struct(F.lit(k).alias("kind"), label.alias("label")) for k, label in kinds))
+    return rows.withColumn("part", F.explode(F.filter(parts, lambda x: x["label"].isNotNull()))).select("*", "part.kind", "part.label").drop("part")
+
+
+@query("g41_g55_part_intervals")
+def g41(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every set: BLEU and the mean sentence chrF, with intervals, of the whole, of each slice and of each word bucket."""
+    rows = evals(spark, sf_dir).withColumn("chrf", metrics.chrf("hyp", "ref"))
+    s = metrics.bleu_stats(rows, keep=["doc_id", "split", "slice", "ref", "chrf"])
+    out = resample.slice_intervals(_parts(s).filter("kind <> 'long'"), "doc_id", ["split", "kind", "label"], "chrf", DRAWS, "b")
+    return _round(out, "bleu", "bleu_low", "bleu_high", "mean", "mean_low", "mean_high")
+
+
+@query("b08_g57_paired_parts")
+def b08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The difference of two systems on the same draws, in every set, its slices, its word buckets and its long rows."""
+    both = evals(spark, sf_dir)
+    a = metrics.bleu_stats(both, "hyp", keep=["doc_id", "split", "slice", "ref"])
+    b = metrics.bleu_stats(both, "hyp_b", keep=["doc_id"]).select("doc_id", *(F.col(s).alias(f"b_{s}") for s in metrics.STATS))
+    keys = ["split", "kind", "label"]
+    sums = resample.resampled_sums(_parts(a.join(b, "doc_id")), "doc_id", [*metrics.STATS, *(f"b_{s}" for s in metrics.STATS)], DRAWS, "b", keys)
+    return _round(resample.paired(sums.select(*keys, "rep", metrics.bleu("b_").alias("b"), metrics.bleu().alias("a")), "b", "a", DRAWS, keys), "low", "high", "p")
+
+
 @query("b16_r2", f"WITH {_DOCS} SELECT lang, round(regr_r2(n_chars, n), 6) AS r2, round(regr_slope(n_chars, n), 6) AS slope FROM d GROUP BY lang")
 def b16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_docs(spark, sf_dir).groupBy("lang").agg(F.regr_r2("n_chars", "n").alias("r2"), F.regr_slope("n_chars", "n").alias("slope")), "r2", "slope")

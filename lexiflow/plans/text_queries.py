@@ -260,9 +260,12 @@ def f48(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_type", overlap.alias("overlap"), _r(ratio).alias("ratio"), X.compared(ratio, overlap, False).alias("verdict"))
 
 
-@query("f50_row_seed", "SELECT doc_id, CAST('0x' || substr(md5('7:' || doc_id || ':0'), 1, 15) AS BIGINT) AS seed FROM documents")
+_SEED_SQL = "CAST(CAST('0x' || " + " || ".join(f"substr(h, {at}, 2)" for at in range(15, 0, -2)) + " AS UBIGINT) % 9223372036854775808 AS BIGINT)"
+
+
+@query("f50_row_seed", f"WITH d AS (SELECT doc_id, sha256('7|0|' || doc_id) AS h FROM documents) SELECT doc_id, {_SEED_SQL} AS seed FROM d")
 def f50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", X.hash_number("7", F.col("doc_id"), F.lit(0)).alias("seed"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.row_seed(7, F.col("doc_id"), 0).alias("seed"))
 
 
 @query(

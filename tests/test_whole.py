@@ -210,3 +210,27 @@ def test_a_thousand_draws(spark, sf, evals):
     bleus = sorted(plain_bleu([d]) for d in drawn.tolist())
     got = {r.slice: r for r in catalog.QUERIES["b01_b23_bleu_interval"](spark, sf).collect()}["en"]
     assert (got.low, got.high) == pytest.approx((bleus[25], bleus[975]), abs=1e-5)
+
+
+def test_parts_of_sets(spark, sf, evals):
+    """The whole of a set is the paired test of that set; parts have the rows that are theirs."""
+    whole = {r.split: (r.low, r.high, r.p) for r in catalog.QUERIES["b04_b05_b07_b08_paired"](spark, sf).collect()}
+    got = catalog.QUERIES["b08_g57_paired_parts"](spark, sf).collect()
+    assert {r.split: (r.low, r.high, r.p) for r in got if r.kind == "all"} == whole
+    assert {(r.split, r.label) for r in got if r.kind == "slice"} == {(e[2], e[1]) for e in evals}
+    assert {r.split for r in got if r.kind == "long"} == {e[2] for e in evals if len(e[3].split(" ")) > 80}
+    parts = catalog.QUERIES["g41_g55_part_intervals"](spark, sf).collect()
+    for r in parts:
+        assert r.bleu_low <= r.bleu <= r.bleu_high and r.mean_low <= r.mean_high
+    size = Counter((e[2], e[1]) for e in evals)
+    assert {(r.split, r.label): r.n for r in parts if r.kind == "slice"} == size
+    for s, n in Counter(e[2] for e in evals).items():
+        assert sum(r.n for r in parts if r.split == s and r.kind == "bucket") == n
+
+
+def test_row_seeds(spark):
+    from lexiflow.functions.formulas import row_seed
+
+    want = [int.from_bytes(hashlib.sha256(f"7|{j}|k{j}".encode()).digest()[:8], "little") & ((1 << 63) - 1) for j in range(50)]
+    got = spark.range(50).select(row_seed(7, F.concat(F.lit("k"), "id"), F.col("id")).alias("s")).collect()
+    assert [r.s for r in got] == want
