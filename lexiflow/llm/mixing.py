@@ -13,7 +13,7 @@ documents, and rates follow from the vector as a column expression; none is stor
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -229,10 +229,18 @@ def described_documents(docs: DataFrame, model: DomainModel, id_col: str, text_c
 
 
 def _plan(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, id_col: str, text_col: str, budget: float, keep: Sequence[str]) -> tuple[Mixture, DataFrame, list[str]]:
-    aims = [(targets or TARGETS)[d] for d in DOMAINS]
+    """Rates for each domain, the described documents, and the names of what was added to them."""
+    aims = targets or TARGETS
+    groups = [[DOMAINS.index(d) for d in key.split("+")] for key in aims]
+    if sorted(k for g in groups for k in g) != list(range(len(DOMAINS))):
+        raise ValueError(f"targets must name each of {', '.join(DOMAINS)} once")
     model = train_domains(docs, labels, id_col, text_col)
     described, added = described_documents(docs, model, id_col, text_col, keep)
-    return fit_rates(described, aims, budget, added[1], added[2:]), described, added
+    p = added[2:]
+    sums = [sum((F.col(p[k]) for k in g[1:]), F.col(p[g[0]])).alias(f"p{j}") for j, g in enumerate(groups)]
+    found = fit_rates(described.select(F.col(added[1]).alias("n_tokens"), *sums), list(aims.values()), budget)
+    move = tuple(next(m for m, g in zip(found.move, groups, strict=True) if k in g) for k in range(len(DOMAINS)))
+    return replace(found, move=move), described, added
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", budget: float = 1.0) -> DataFrame:
@@ -244,6 +252,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     the same in every row, and about zero wherever nonnegative rates can reach them. A null or empty
     text has no tokens and the posterior of an empty text. rid is that hash. Repeated rows get equal
     rates; an empty table gives no rows; other columns are not looked at.
+
+    ``targets`` names each domain once. Domains joined by a plus, as in ``good+poor``, share one aim,
+    and their posteriors count as one. An aim below what clean text holds of a domain by faint
+    posteriors can only be reached by leaving clean text out.
     """
     found, described, (rid, tokens, *p) = _plan(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), labels, targets, id_col, text_col, budget, [id_col])
     rate = found.rate(p)

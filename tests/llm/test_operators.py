@@ -557,6 +557,16 @@ def test_domains_of_held_out_rows(spark, sf):
     assert mixing.mix(docs, marks).select(F.max("gap")).first()[0] < 1e-5
 
 
+def test_domains_that_share_an_aim(spark, docs):
+    labels = spark.createDataFrame([(2, 1, 0), (3, 0, 0), (8, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = mixing.mix(docs, labels, {"good+poor": 0.5, "toxic": 0.5}).collect()
+    t, clean, toxic = (np.array([f(r) * r.n_tokens for r in rows]) for f in (lambda r: 1, lambda r: r.p_good + r.p_poor, lambda r: r.p_toxic))
+    rate = np.array([r.rate for r in rows])
+    assert abs(rate @ clean - t.sum() / 2) < 1e-3 * t.sum() and abs(rate @ toxic - t.sum() / 2) < 1e-3 * t.sum()
+    with pytest.raises(ValueError, match="name each of"):
+        mixing.mix(docs, labels, {"good": 0.5, "toxic": 0.5})
+
+
 def test_url_filter_on_odd_tables(spark):
     urls = ["http://a.example.org/en/1" + "x" * 200_000, "http://a.example.org/en/1" + "x" * 200_000, "http://n.net/" + "a" * 100_000 + "casino"]
     df = spark.createDataFrame([(1, u) for u in urls], "page_id long, url string").withColumns({c: F.lit(0) for c in ("host", "path", "rule", "verdict")})
