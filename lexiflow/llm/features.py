@@ -85,13 +85,15 @@ class Flat:
         for lo in range(0, len(self.data) if len(self.start) else 0, STRETCH):
             hi = min(lo + STRETCH, len(self.data))
             kept = self._kept(lo, hi, fold)
-            count = np.cumsum(kept)
             first, last = np.searchsorted(self.start, (lo, hi))
-            base[first:last] = before + (count - kept)[self.start[first:last] - lo]
+            begins = self.start[first:last] - lo
             at = np.flatnonzero(kept)
+            base[first:last] = before + np.searchsorted(at, begins)
             if len(at):
-                word = np.searchsorted(self.start[first:last], at + lo, "right") + (first - 1)
-                place = before + count[at] - 1 - base[word]
+                opened = np.zeros(hi - lo, np.int32)
+                opened[begins] = 1
+                word = np.cumsum(opened, dtype=np.int32)[at] + (first - 1)
+                place = np.arange(before, before + len(at)) - base[word]
                 byte = self.data[lo:hi][at].astype(np.uint64) + np.uint64(1)
                 if fold:
                     byte += (self.kind[lo:hi][at] == 1).astype(np.uint64) * np.uint64(32)
@@ -104,7 +106,7 @@ class Flat:
                     if len(owner):
                         edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
                         total[owner[edge]] += np.add.reduceat(value, edge)
-            before += int(count[-1])
+            before += len(at)
         return tuple((t ^ (t >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) for t in sums)
 
     def folded_texts(self) -> list[bytes]:
@@ -139,6 +141,12 @@ def _factors(n: int, family: int) -> np.ndarray:
     return made
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by one sort, which on these arrays is faster than numpy's hash table."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def dense(texts: Sequence[bytes], pairs: bool = True, flat: Flat | None = None) -> np.ndarray:
     """(n, DENSE) float32: what ``SURFACE`` names, then, unless left out, shares of hashed byte pairs. An empty text has zeros."""
     out = np.zeros((len(texts), DENSE if pairs else len(SURFACE)), np.float32)
@@ -163,7 +171,7 @@ def dense(texts: Sequence[bytes], pairs: bool = True, flat: Flat | None = None)
         out[:, k + 1 + j] = c
     out[:, k + 1 + len(columns)] = np.log1p(words / (counts[:, 4] + 1))
     out[:, k + 2 + len(columns)] = out[:, k + 6] + out[:, k + 7] > 0.3
-    met = np.unique((flat.doc.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
+    met = _distinct((flat.doc.astype(np.uint64) << np.uint64(40)) | (hashes >> np.uint64(24)))
     distinct = np.bincount((met >> np.uint64(40)).astype(np.int64), minlength=flat.n) / words
     # Against the share that a text of this length has on average: longer texts say old words more often.
     out[:, k + 3 + len(columns)] = distinct * np.log1p(words) / 4
@@ -185,7 +193,7 @@ def hashed_words(texts: Sequence[bytes], bins: int, flat: Flat | None = None) ->
     flat = flat or Flat(texts)
     whole, start = flat.word_hashes(fold=True, begin=WORD_BEGIN)
     codes = [(h * np.uint64(odd) >> np.uint64(20)).astype(np.int64) % bins for h, odd in ((whole, 1), (start, 2 * WORD_BEGIN + 1))]
-    key = np.unique(np.concatenate([flat.doc * bins + c for c in codes]))
+    key = _distinct(np.concatenate([flat.doc * bins + c for c in codes]))
     row, column = key // bins, key % bins
     per = np.bincount(row, minlength=len(texts))
     return row, column, (1.0 / np.sqrt(np.maximum(per, 1)))[row]
