@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType
 
 
 @functools.lru_cache(maxsize=2)
@@ -44,10 +50,60 @@ def source_rarity(df: DataFrame, key: str, ids: str, counts: DataFrame, byte_ids
     return df.select(key).join(got, key, "left").fillna(0.0, ["mean", "least", "byte_share"])
 
 
-def untranslated(hyp: Column, src: Column, known: Column) -> Column:
-    """Share of hypothesis ids that the source has and the training target never had (``known``: ids it had)."""
-    n = F.size(hyp)
-    return F.when(n > 0, F.size(F.filter(hyp, lambda t: F.array_contains(src, t) & ~F.array_contains(known, t))) / F.nullif(n, F.lit(0))).otherwise(0.0)
+#: Words that a worker remembers the numbers of, and the longest of them.
+MOST_WORDS, LONGEST_WORD = 200_000, 64
+WORD = regex.compile(r"[\p{L}\p{N}_]+")
+
+
+class _Numbers(dict):
+    """Numbers of words: the first 28 bits of MD5, modulo the size of the vocabulary. Each word is hashed once while it is remembered."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        n = int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % self.size
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        if len(word) <= LONGEST_WORD:
+            self[word] = n
+        return n
+
+
+@functools.lru_cache(maxsize=4)
+def _numbers(size: int) -> _Numbers:
+    return _Numbers(size)
+
+
+def word_numbers(size: int):
+    """A column function from text to the numbers of its words, below ``size``; a null text has none."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def number(texts: pa.Array) -> pa.Array:
+        get = _numbers(size).__getitem__
+        lists = [None if t is None else np.fromiter(map(get, WORD.findall(t)), np.int32) for t in texts.to_pylist()]
+        return pa.array(lists, pa.list_(pa.int32()))
+
+    return number
+
+
+def untranslated(known: Iterable[int]):
+    """A column function from a hypothesis' and a source's ids (32-bit) to the share of the first, repeats included, that the source has and the training target never had (``known``: ids it had); 0 without ids."""
+    had = np.unique(np.fromiter(known, np.int64))
+
+    @F.arrow_udf(DoubleType())
+    def share(hyp: pa.Array, src: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.list_value_length(hyp), 0).to_numpy(zero_copy_only=False)
+        keys = []
+        for lists in (hyp, src):
+            rows, ids = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (pc.list_parent_indices(lists), lists.flatten()))
+            new = ~np.isin(ids, had)
+            keys.append(rows[new] << 32 | ids[new] & 0xFFFFFFFF)
+        hits = keys[0][np.isin(keys[0], keys[1])] >> 32
+        return pa.array(np.bincount(hits, minlength=len(n)) / np.maximum(n, 1))
+
+    return share
 
 
 def blocked_tokens(history: Column, n: int) -> Column:

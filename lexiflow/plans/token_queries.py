@@ -24,9 +24,10 @@ _IDS = rf"list_transform(regexp_extract_all(lower({{}}), '[\p{{{{L}}}}\p{{{{N}}}
 
 @query("f15_untranslated", f"WITH {EVAL_SQL}, t AS (SELECT doc_id, {_IDS.format('hyp')} AS h, {_IDS.format('ref')} AS s FROM evals) SELECT doc_id, round(CASE WHEN len(h) > 0 THEN len(list_filter(h, lambda x: list_contains(s, x) AND NOT x < 4000)) / len(h) ELSE 0.0 END, 6) AS share FROM t")
 def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = evals(spark, sf_dir).select("doc_id", _ids(F.col("hyp")).alias("h"), _ids(F.col("ref")).alias("s"))
-    known = F.sequence(F.lit(0), F.lit(3999))
-    return ids.select("doc_id", F.round(subwords.untranslated(F.col("h"), F.col("s"), known), 6).alias("share"))
+    """Hashing and lookup are Arrow functions: a lambda would go through the source's words, and hash them anew, for every word of the hypothesis."""
+    ids = subwords.word_numbers(VOCAB)
+    share = subwords.untranslated(range(4000))(ids(F.lower("hyp")), ids(F.lower("ref")))
+    return evals(spark, sf_dir).select("doc_id", F.round(share, 6).alias("share"))
 
 
 @query(

@@ -234,3 +234,20 @@ def test_row_seeds(spark):
     want = [int.from_bytes(hashlib.sha256(f"7|{j}|k{j}".encode()).digest()[:8], "little") & ((1 << 63) - 1) for j in range(50)]
     got = spark.range(50).select(row_seed(7, F.concat(F.lit("k"), "id"), F.col("id")).alias("s")).collect()
     assert [r.s for r in got] == want
+
+
+def test_untranslated_does_not_grow_with_the_square(spark, tmp_path):
+    """One text of 400,000 different words: a lambda over the source's words for each of the hypothesis' takes minutes."""
+    import time
+
+    words = [f"w{k}" for k in range(400_000)] + ["Ünder_1", "w7", "w7"]
+    rows = [(1, " ".join(words), "en"), (2, "", "en"), (3, None, "de"), (4, "- -", "de"), (5, "W1 x, W1 W1 y", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    start = time.monotonic()
+    got = {r.doc_id: r.share for r in catalog.QUERIES["f15_untranslated"](spark, str(tmp_path)).collect()}
+    assert time.monotonic() - start < 45
+    number = lambda w: int(hashlib.md5(w.lower().encode()).hexdigest()[:7], 16) % 5000
+    share = lambda text: [number(w) >= 4000 for w in regex.findall(r"[\p{L}\p{N}_]+", " ".join(x for k, x in enumerate(text.split(" ")) if (k + 1) % 4))]
+    for i, text, _ in rows:
+        want = share(text or "")
+        assert got[i] == pytest.approx(sum(want) / len(want) if want else 0.0, abs=1e-6), i
