@@ -34,8 +34,8 @@ def poisson_sql(u: str) -> str:
     return "CASE " + " ".join(f"WHEN {u} < {x!r} THEN {k}" for k, x in enumerate(poisson_steps())) + f" ELSE {MOST_DRAWN} END"
 
 
-def resampled_sums(df: DataFrame, id_col: str, columns: list[str], reps: int, seed: str, keys: list[str] | None = None) -> DataFrame:
-    """keys, rep, n and the drawn sum of each column; strata are resampled alike by putting them among the keys.
+def resampled_sums(df: DataFrame, id_col: str, columns: list[str], reps: int, seed: str, keys: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """keys, rep, n and the drawn sum of each column; strata are resampled alike by putting them among the keys. With ``whole``, rep -1 has every row once.
 
     A row is drawn a Poisson number of times, of mean one, by an MD5 hash of seed, id and rep: the
     same in any engine and for any partitioning. Rows are drawn where they stand, and a task adds up
@@ -47,37 +47,47 @@ def resampled_sums(df: DataFrame, id_col: str, columns: list[str], reps: int, se
     source = df.select(F.col(id_col).cast("string").alias("id"), *(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(v) for c, v in zip(columns, values, strict=True)))
     fields = source.schema.fields[1 : 1 + len(keys)]
     schema = StructType([*fields, StructField("rep", IntegerType()), StructField("n", DoubleType()), *(StructField(v, DoubleType()) for v in values)])
-    sums = source.mapInArrow(_drawn_sums(names, values, reps, seed), schema).groupBy(*names, "rep").agg(F.sum("n").cast("long").alias("n"), *(F.sum(v).alias(v) for v in values))
+    sums = source.mapInArrow(_drawn_sums(names, values, reps, seed, whole), schema).groupBy(*names, "rep").agg(F.sum("n").cast("long").alias("n"), *(F.sum(v).alias(v) for v in values))
     back = dict(zip((*names, *values), (*keys, *columns), strict=True))
     return sums.filter("n > 0").withColumnsRenamed(back)
 
 
-def _drawn_sums(names: list[str], values: list[str], reps: int, seed: str):
+def _drawn_sums(names: list[str], values: list[str], reps: int, seed: str, whole: bool):
+    labels = np.array([*range(reps), *([-1] if whole else [])], dtype=np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = np.array(poisson_steps())
-        suffix = [f":{r}".encode() for r in range(reps)]
         held: dict[tuple, np.ndarray] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             for key, total in held.items():
-                columns = [pa.array([k] * reps, t) for k, t in zip(key, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(reps, dtype=np.int32)), *(pa.array(c) for c in total.T)], [*names, "rep", "n", *values])
+                columns = [pa.array([k] * len(labels), t) for k, t in zip(key, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(labels), *(pa.array(c) for c in total.T)], [*names, "rep", "n", *values])
             held.clear()
 
         for batch in batches:
             kinds = [batch.schema.field(n).type for n in names]
             keyed = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True)) if names else [()] * batch.num_rows
             x = np.column_stack([np.ones(batch.num_rows), *(batch.column(v).to_numpy(zero_copy_only=False) for v in values)])
-            ids = batch.column("id").to_pylist()
-            for key in dict.fromkeys(keyed):
-                mine = [j for j, k in enumerate(keyed) if k == key] if names else list(range(batch.num_rows))
-                for a in range(0, len(mine), 64):
-                    part = mine[a : a + 64]
-                    # The first 15 hex digits of each digest, as a number.
-                    raw = b"".join(_digests(seed, ids[j], suffix) for j in part)
-                    number = np.frombuffer(raw, ">u8").reshape(len(part), reps, 2)[:, :, 0] >> np.uint64(4)
-                    times = np.searchsorted(steps, number.astype(np.float64) * 2.0**-60, "right")
-                    held[key] = held.get(key, 0) + times.T @ x[part]
+            places: dict[str | None, list[int]] = {}
+            for j, i in enumerate(batch.column("id").to_pylist()):
+                places.setdefault(i, []).append(j)
+            ids = list(places)
+            # An id is drawn once, for all of its rows.
+            for a in range(0, len(ids), 64):
+                part = ids[a : a + 64]
+                # The first 15 hex digits of each digest, as a number.
+                number = _first_halves(seed, part, reps) >> np.uint64(4)
+                times = np.searchsorted(steps, number.astype(np.float64) * 2.0**-60, "right").astype(np.float64)
+                if whole:
+                    times = np.column_stack([times, np.ones(len(part))])
+                mine: dict[tuple, list[tuple[int, int]]] = {}
+                for t, i in enumerate(part):
+                    for j in places[i]:
+                        mine.setdefault(keyed[j], []).append((t, j))
+                for key, pairs in mine.items():
+                    of, rows = (list(v) for v in zip(*pairs, strict=True))
+                    held[key] = held.get(key, 0) + times[of].T @ x[rows]
                 if len(held) > 500:
                     yield from flush()
         yield from flush()
@@ -85,15 +95,75 @@ def _drawn_sums(names: list[str], values: list[str], reps: int, seed: str):
     return run
 
 
-def _digests(seed: str, row: str | None, suffix: list[bytes]) -> bytes:
-    """MD5 of ``seed:row:rep`` for every rep (a null row is left out, as by concat_ws)."""
-    head = hashlib.md5((seed if row is None else f"{seed}:{row}").encode())
-    out = []
-    for s in suffix:
-        h = head.copy()
-        h.update(s)
-        out.append(h.digest())
-    return b"".join(out)
+def _md5_constants() -> tuple[list[int], list[int], list[int]]:
+    """Of each of the 64 rounds: its summand, its turn, and the word it reads."""
+    summands = [int(abs(math.sin(k + 1)) * 2**32) for k in range(64)]
+    turns = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+    reads = [*range(16), *((5 * k + 1) % 16 for k in range(16)), *((3 * k + 5) % 16 for k in range(16)), *(7 * k % 16 for k in range(16))]
+    return summands, turns, reads
+
+
+_MD5 = _md5_constants()
+#: Digests that are computed side by side; their few arrays stay in the processor's cache.
+_MD5_WIDTH = 16384
+
+
+def _first_halves(seed: str, ids: list[str | None], reps: int) -> np.ndarray:
+    """ids by reps: the first 8 bytes, as a number, of MD5 of ``seed:id:rep`` (a null id is left out, as by concat_ws).
+
+    Messages of one length that fit MD5's one block are digested side by side; any other by hashlib.
+    """
+    out = np.empty((len(ids), reps), np.uint64)
+    heads = [(seed if i is None else f"{seed}:{i}").encode() for i in ids]
+    for size in sorted({len(h) for h in heads}):
+        rows = [k for k, h in enumerate(heads) if len(h) == size]
+        first = np.frombuffer(b"".join(heads[k] for k in rows), np.uint8).reshape(len(rows), 1, size)
+        start = 0
+        while start < reps:
+            digits = len(str(start))
+            stop = min(reps, 10**digits)
+            total = size + 1 + digits
+            if total > 55:
+                for k in rows:
+                    for r in range(start, stop):
+                        out[k, r] = int.from_bytes(hashlib.md5(heads[k] + b":%d" % r).digest()[:8], "big")
+            else:
+                tails = np.frombuffer(b"".join(b":%d" % r for r in range(start, stop)), np.uint8).reshape(1, stop - start, digits + 1)
+                filled = total // 4 + 1
+                block = np.zeros((len(rows), stop - start, 4 * filled), np.uint8)
+                block[:, :, :size], block[:, :, size:total], block[:, :, total] = first, tails, 128
+                words = np.ascontiguousarray(block.reshape(-1, 4 * filled).view("<u4").T)
+                got = np.empty(words.shape[1], np.uint64)
+                for a in range(0, len(got), _MD5_WIDTH):
+                    got[a : a + _MD5_WIDTH] = _md5_block(words[:, a : a + _MD5_WIDTH], 8 * total)
+                out[rows, start:stop] = got.reshape(len(rows), -1)
+            start = stop
+    return out
+
+
+def _md5_block(words: np.ndarray, bits: int) -> np.ndarray:
+    """MD5 of messages of ``bits`` bits, a column of words each, which the closing bit ends. The first 8 bytes of each digest."""
+    filled, n = words.shape
+    initial = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+    a, b, c, d = (np.full(n, v, np.uint32) for v in initial)
+    f, g = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for k, (summand, turn, read) in enumerate(zip(*_MD5, strict=True)):
+        if k < 16:  # d ^ (b & (c ^ d))
+            np.bitwise_xor(c, d, f), np.bitwise_and(f, b, f), np.bitwise_xor(f, d, f)
+        elif k < 32:  # c ^ (d & (b ^ c))
+            np.bitwise_xor(b, c, f), np.bitwise_and(f, d, f), np.bitwise_xor(f, c, f)
+        elif k < 48:
+            np.bitwise_xor(b, c, f), np.bitwise_xor(f, d, f)
+        else:
+            np.invert(d, f), np.bitwise_or(f, b, f), np.bitwise_xor(f, c, f)
+        np.add(f, a, f), np.add(f, np.uint32((summand + (bits if read == 14 else 0)) % 2**32), f)
+        if read < filled:
+            np.add(f, words[read], f)
+        np.left_shift(f, np.uint32(turn), g), np.right_shift(f, np.uint32(32 - turn), f), np.bitwise_or(f, g, f)
+        np.add(f, b, f)
+        a, b, c, d, f = d, f, b, c, a
+    low, high = (x + np.uint32(v) for x, v in zip((a, b), initial, strict=False))
+    return low.byteswap().astype(np.uint64) << np.uint64(32) | high.byteswap()
 
 
 def interval(samples: DataFrame, value: str, reps: int, keys: list[str] | None = None) -> DataFrame:
@@ -166,8 +236,10 @@ def decisions(rows: DataFrame, ids: DataFrame, id_col: str, run: str, split: str
     """
     runs = complete_runs(rows, ids, id_col, run)
     full = rows.filter(F.col(run).isin(runs) & F.col(split).isin([*better, *no_worse]))
-    sums = resampled_sums(full, id_col, metrics.STATS, reps, seed, [run, split]).select(run, split, "rep", metrics.bleu().alias("v"))
-    point = full.groupBy(run, split).agg(*metrics.summed()).select(run, split, metrics.bleu().alias("v"))
+    sums = resampled_sums(full, id_col, metrics.STATS, reps, seed, [run, split], whole=True).select(run, split, "rep", metrics.bleu().alias("v"))
+    # A row for each run, split and draw; the joins below read it eight times, and each time would draw anew.
+    sums = rows.sparkSession.createDataFrame(sums.collect(), sums.schema)
+    point, sums = sums.filter("rep < 0").drop("rep"), sums.filter("rep >= 0")
     side = lambda df, name, v: df.withColumnsRenamed({run: name, "v": v})
     different = F.col("better") != F.col("other")
     drawn = side(sums, "better", "a").join(side(sums, "other", "b"), [split, "rep"]).filter(different)

@@ -251,3 +251,44 @@ def test_untranslated_does_not_grow_with_the_square(spark, tmp_path):
     for i, text, _ in rows:
         want = share(text or "")
         assert got[i] == pytest.approx(sum(want) / len(want) if want else 0.0, abs=1e-6), i
+
+
+def counted(spark, rows):
+    """The same rows, and a counter of how often any of them is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    return rows.mapInPandas(run, rows.schema), made
+
+
+def test_decisions_draw_once(spark):
+    """The rows are made once to see which runs are complete and once to be drawn, however many pairs are tested."""
+    cut = lambda k: lambda i, r: " ".join(w for j, w in enumerate(r.split()) if j % k)
+    rows, ids = made(spark, {"good": cut(6), "poor": cut(3)})
+    rows, n = counted(spark, rows)
+    assert resample.decisions(rows, ids, "id", "run", "split", 60, "s", ["e2", "e3"], ["e1"]).count() == 6
+    assert n.value <= 2 * 180
+
+
+def test_draws_are_md5s(spark):
+    """Messages of one block, side by side, and longer ones are digested as by hashlib."""
+    ids = ["0", "17", None, "123456", "é" * 20, "x" * 48, "x" * 49, "x" * 50, "x" * 51, "x" * 70, ""]
+    got = resample._first_halves("b", ids, 1101)
+    for k, i in enumerate(ids):
+        for r in (0, 9, 10, 99, 100, 999, 1000, 1100):
+            text = f"b:{r}" if i is None else f"b:{i}:{r}"
+            assert got[k, r] == int(hashlib.md5(text.encode()).hexdigest()[:16], 16), (i, r)
+
+
+def test_pairs_are_counted_side_by_side():
+    """Statistics as of gram by gram counts: empty and null texts, marks of no near script, more different tokens than four fit in one integer."""
+    rng = random.Random(9)
+    some = [" ".join(rng.choice(["a", "b", "c.", "é", "—", "語", "x\x1cy"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    many = " ".join(f"w{k}" for k in range(70_000))
+    hyps, refs = [*some, "", None, "a", many[5:]], [*some[1:], some[0], "a", None, "", many]
+    assert metrics.all_stats(hyps, refs).tolist() == [list(plain_stats(h or "", r or "")) for h, r in zip(hyps, refs)]
+    assert metrics.all_stats([], []).shape == (0, 10)
