@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -119,25 +118,34 @@ def bleu(prefix: str = "") -> Column:
     return F.when(ok, 100 * brevity * F.exp(logs / ORDERS)).otherwise(0.0)
 
 
-def sentence_chrf(hyp: str, ref: str, orders: int = 6, beta: float = 2.0) -> float:
-    """Mean F-score of character n-grams, in lower case and without white space, over the orders that both sides have."""
-    h, r = "".join((hyp or "").lower().split()), "".join((ref or "").lower().split())
-    if not h and not r:
-        return 100.0
-    scores = []
+def all_chrf(hyps: Sequence[str | None], refs: Sequence[str | None], orders: int = 6, beta: float = 2.0) -> np.ndarray:
+    """Of each pair, the mean F-score of character n-grams, in lower case and without white space, over the orders that both sides have."""
+    texts = [("".join((h or "").lower().split()), "".join((r or "").lower().split())) for h, r in zip(hyps, refs, strict=True)]
+    sizes = np.array([(len(h), len(r)) for h, r in texts], np.int64).reshape(-1, 2)
+    match = np.zeros((len(texts), orders), np.int64)
+    for part in _groups(sizes):
+        codes = np.frombuffer("".join(h + r for h, r in texts[part]).encode("utf-32-le"), np.uint32)
+        if len(codes):
+            number = np.cumsum(np.bincount(codes) > 0) - 1
+            match[part] = clipped_matches(number[codes], sizes[part], orders)
+    score, used = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     for n in range(1, orders + 1):
-        gh, gr = Counter(h[i : i + n] for i in range(len(h) - n + 1)), Counter(r[i : i + n] for i in range(len(r) - n + 1))
-        if not gh or not gr:
-            continue
-        both = sum((gh & gr).values())
-        p, q = both / gh.total(), both / gr.total()
-        scores.append((1 + beta * beta) * p * q / (beta * beta * p + q) if both else 0.0)
-    return 100 * sum(scores) / len(scores) if scores else 0.0
-
-
-@F.pandas_udf(DoubleType())
-def chrf(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([sentence_chrf(h, r) for h, r in zip(hyp, ref, strict=True)], dtype="float64")
+        total = sizes - n + 1
+        have = (total > 0).all(axis=1)
+        some = have & (match[:, n - 1] > 0)
+        p, q = (match[some, n - 1] / total[some, k] for k in (0, 1))
+        score[some] += (1 + beta * beta) * p * q / (beta * beta * p + q)
+        used += have
+    return np.where((sizes == 0).all(axis=1), 100.0, 100 * score / np.maximum(used, 1))
+
+
+def sentence_chrf(hyp: str, ref: str, orders: int = 6, beta: float = 2.0) -> float:
+    return float(all_chrf([hyp], [ref], orders, beta)[0])
+
+
+@F.arrow_udf(DoubleType())
+def chrf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    return pa.array(all_chrf(hyp.to_pylist(), ref.to_pylist()))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -208,15 +208,16 @@ def paired(samples: DataFrame, a: str, b: str, reps: int, keys: list[str] | None
 
 def slice_intervals(df: DataFrame, id_col: str, keys: list[str], value: str, reps: int, seed: str) -> DataFrame:
     """keys, n, then point, low and high of BLEU (from its statistics) and of the mean of ``value``."""
-    point = df.groupBy(*keys).agg(F.count("*").alias("n"), *metrics.summed(), F.avg(value).alias("mean")).select(*keys, "n", metrics.bleu().alias("bleu"), "mean")
-    sums = resampled_sums(df, id_col, [*metrics.STATS, value], reps, seed, keys)
-    drawn = sums.select(*keys, "rep", metrics.bleu().alias("bleu"), (F.col(value) / F.col("n")).alias("mean"))
-    out = point
-    for v in ("bleu", "mean"):
-        w = Window.partitionBy(*keys)
-        m = F.count("*").over(w)  # a slice of few rows has draws without any; its interval is of the others
-        ranked = drawn.select(*keys, v, F.row_number().over(w.orderBy(v, "rep")).alias("__n"), (F.floor(0.025 * m) + 1).alias("__low"), F.least(m, F.floor(0.975 * m) + 1).alias("__high"))
-        out = out.join(ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("__n") == F.col(f"__{side}"), F.col(v))).alias(f"{v}_{side}") for side in ("low", "high"))), keys)
+    known = df.withColumn("__known", F.col(value).isNotNull().cast("long"))
+    sums = resampled_sums(known, id_col, [*metrics.STATS, value, "__known"], reps, seed, keys, whole=True)
+    made = sums.select(*keys, "rep", "n", metrics.bleu().alias("bleu"), (F.col(value) / F.col("n")).alias("mean"), (F.col(value) / F.nullif(F.col("__known"), F.lit(0.0))).alias("point"))
+    # All of a slice's draws are sorted in one row, so that they are made once.
+    drawn = F.col("rep") >= 0
+    of = lambda c: F.max(F.when(~drawn, F.col(c)))
+    each = made.groupBy(*keys).agg(of("n").alias("n"), of("bleu").alias("bleu"), of("point").alias("mean"), *(F.sort_array(F.collect_list(F.when(drawn, F.col(c)))).alias(f"{c}s") for c in ("bleu", "mean")))
+    m = F.size("means")  # a slice of few rows has draws without any; its interval is of the others
+    at = {"low": (F.floor(0.025 * m) + 1).cast("int"), "high": F.least(m, F.floor(0.975 * m) + 1).cast("int")}
+    out = each.filter(m > 0).select(*keys, "n", "bleu", "mean", *(F.element_at(f"{c}s", i).alias(f"{c}_{side}") for c in ("bleu", "mean") for side, i in at.items()))
     low, high = clipped(F.col("bleu_low"), F.col("bleu_high"), F.col("bleu"))
     return out.select(*keys, "n", "bleu", low.alias("bleu_low"), high.alias("bleu_high"), "mean", "mean_low", "mean_high")
 

@@ -292,3 +292,32 @@ def test_pairs_are_counted_side_by_side():
     hyps, refs = [*some, "", None, "a", many[5:]], [*some[1:], some[0], "a", None, "", many]
     assert metrics.all_stats(hyps, refs).tolist() == [list(plain_stats(h or "", r or "")) for h, r in zip(hyps, refs)]
     assert metrics.all_stats([], []).shape == (0, 10)
+
+
+def plain_chrf(h, r):
+    h, r = ("".join((t or "").lower().split()) for t in (h, r))
+    scores = []
+    for n in range(1, 7):
+        gh, gr = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (h, r))
+        if gh and gr:
+            both = sum((gh & gr).values())
+            p, q = both / gh.total(), both / gr.total()
+            scores.append(5 * p * q / (4 * p + q) if both else 0.0)
+    return 100 * sum(scores) / len(scores) if scores else 0.0 if h or r else 100.0
+
+
+def test_chrf_is_counted_side_by_side():
+    """Scores as of gram by gram counts: empty and null texts, and more different characters than six fit in one integer."""
+    rng = random.Random(10)
+    some = ["".join(rng.choice("abé—語 İ\n") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    many = "".join(map(chr, range(0x3400, 0x9000)))
+    hyps, refs = [*some, "", None, "a", many[9:]], [*some[1:], some[0], "a", None, "", many]
+    assert metrics.all_chrf(hyps, refs).tolist() == pytest.approx([plain_chrf(h, r) for h, r in zip(hyps, refs)], abs=1e-9)
+
+
+def test_slices_draw_once(spark):
+    """The rows are made once for the points and both intervals."""
+    rows, _ = made(spark, {"x": lambda i, r: r if i % 2 else r[:9]})
+    rows, n = counted(spark, rows.withColumn("chars", F.col("id").cast("double")))
+    assert len(resample.slice_intervals(rows, "id", ["split"], "chars", 60, "s").collect()) == 3
+    assert n.value == 90
